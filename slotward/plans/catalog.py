@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import profiling, vendors  # noqa: F401 - registration
+from . import features, profiling, vendors  # noqa: F401 - registration
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
