@@ -1,28 +1,22 @@
 """Severity encodings, cross-source states and the flags built on them."""
 
-from functools import reduce
-from operator import add, or_
-
 from pyspark.sql import Column, functions as F
 
 from . import fixed
 
 
-def lookup(value: Column, table: dict, default=None) -> Column:
-    """Map a value through a small fixed table; anything else gives the default."""
-    branches = iter(table.items())
-    key, mapped = next(branches)
-    expr = F.when(value == key, F.lit(mapped))
-    for key, mapped in branches:
-        expr = expr.when(value == key, F.lit(mapped))
-    return expr if default is None else expr.otherwise(F.lit(default))
+def lookup(name: str, table: dict, default=None) -> Column:
+    """Map a column through a small fixed table; anything else gives the default."""
+    branches = " ".join(f"WHEN {key!r} THEN {value!r}" for key, value in table.items())
+    rest = "NULL" if default is None else repr(default)
+    return F.expr(f"CASE {name} {branches} ELSE {rest} END")
 
 
-def severity(state: Column) -> Column:
+def severity(state: str) -> Column:
     return lookup(state, fixed.SEVERITY_RANKS)
 
 
-def ping_code(status: Column) -> Column:
+def ping_code(status: str) -> Column:
     return lookup(status, fixed.PING_CODES)
 
 
@@ -32,18 +26,17 @@ def differs(a: Column, b: Column) -> Column:
 
 
 def disagreement(component: str) -> Column:
-    both = F.col("has_hpe") & F.col("has_dell")
-    return (both & differs(F.col(f"hpe_{component}"), F.col(f"dell_{component}"))).cast("int")
+    return F.expr(f"CAST(has_hpe AND has_dell AND coalesce(hpe_{component} <> dell_{component}, true) AS INT)")
 
 
 def count_at(columns: list[str], rank: int) -> Column:
     """How many of the columns hold the rank; nulls do not count."""
-    return reduce(add, [F.coalesce((F.col(c) == rank).cast("int"), F.lit(0)) for c in columns])
+    return F.expr(" + ".join(f"IF({c} = {rank}, 1, 0)" for c in columns))
 
 
-def any_equals(columns: list[str], value) -> Column:
+def any_equals(columns: list[str], value: str) -> Column:
     """True when at least one column holds the value, null treated as no."""
-    return reduce(or_, [F.coalesce(F.col(c) == value, F.lit(False)) for c in columns])
+    return F.expr(" OR ".join(f"({c} <=> {value!r})" for c in columns))
 
 
 def source_tag(has_hpe: Column, has_dell: Column) -> Column:
@@ -56,8 +49,8 @@ def source_tag(has_hpe: Column, has_dell: Column) -> Column:
     )
 
 
-def rank_label(rank: Column) -> Column:
-    return F.coalesce(lookup(rank, fixed.RANK_LABELS), F.lit(fixed.NO_SENSOR))
+def rank_label(rank: str) -> Column:
+    return lookup(rank, fixed.RANK_LABELS, fixed.NO_SENSOR)
 
 
 def present_text(text: Column) -> Column:

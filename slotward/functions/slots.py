@@ -14,17 +14,14 @@ def parse_time(text: Column, day_first: bool = True) -> Column:
 
 def slot_label(time: Column) -> Column:
     """Calendar slot: 00:00-03:59 is 02, 04:00-07:59 is 06, and so on."""
-    hour = F.floor(F.hour(time) / 4) * 4 + 2
-    return F.concat(
-        F.date_format(time, "yyyy-MM-dd"), F.lit("_Slot-"), F.lpad(hour.cast("string"), 2, "0")
-    )
+    middle = (F.hour(time) - F.hour(time) % 4 + 2).cast("string")
+    return F.concat(F.date_format(time, "yyyy-MM-dd"), F.lit("_Slot-"), F.lpad(middle, 2, "0"))
 
 
 def slot_floor(time: Column) -> Column:
     """Start of the calendar slot, as a timestamp."""
-    start_hour = (F.floor(F.hour(time) / 4) * 4).cast("int")
-    day = F.date_trunc("day", time).cast("timestamp_ntz")
-    return day + F.make_dt_interval(hours=start_hour)
+    hours = F.hour(time) - F.hour(time) % 4
+    return F.date_trunc("day", time).cast("timestamp_ntz") + F.make_dt_interval(hours=hours)
 
 
 def slot_time(label: Column) -> Column:

@@ -40,14 +40,14 @@ def build_gold(ping: DataFrame, hpe: DataFrame, dell: DataFrame) -> DataFrame:
 
 def row_features(gold: DataFrame) -> DataFrame:
     """Ranks, worst states, disagreement flags, counts and the active-problem flag."""
-    ranks = {f"{v}_{c}_rank": health.severity(F.col(f"{v}_{c}")) for c in fixed.COMPONENTS for v in ("hpe", "dell")}
+    ranks = {f"{v}_{c}_rank": health.severity(f"{v}_{c}") for c in fixed.COMPONENTS for v in ("hpe", "dell")}
     worst = {f"hardware_{c}_worst_status": F.greatest(f"hpe_{c}_rank", f"dell_{c}_rank") for c in fixed.COMPONENTS}
     flags = {f"hardware_{c}_disagreement_flag": health.disagreement(c) for c in fixed.COMPONENTS}
     counts = {name: health.count_at(fixed.WORST_COLUMNS, rank) for name, rank in zip(fixed.COUNT_COLUMNS, (3, 2, 1))}
     any_bad = F.greatest(*fixed.COUNT_COLUMNS) > 0
     ping_down = F.coalesce(F.col("ping_status_binary") == 1, F.lit(False))
     return (
-        gold.withColumns({"ping_status_binary": health.ping_code(F.col("ping_status")), **ranks})
+        gold.withColumns({"ping_status_binary": health.ping_code("ping_status"), **ranks})
         .withColumns(worst)
         .withColumns({**flags, **counts})
         .withColumn("has_active_problem", (any_bad | ping_down).cast("int"))

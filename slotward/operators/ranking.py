@@ -49,20 +49,22 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str]) ->
     return joined.withColumns(out).drop("_row", "_block", *helpers)
 
 
-def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:
-    """One row of linearly interpolated percentiles of a column, each under its given name."""
-    n = F.sum(weight) if weight else F.count("*")
-    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(n.alias("n"))
-    placed = running_totals(counted, [F.col(value)], {"upto": "n"})
-    size = counted.select(F.sum("n")).scalar()
+def percentiles_of(placed: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """Interpolated percentiles from distinct values and their running count `upto`."""
+    size = F.max("upto")
+    last = placed.agg(F.max("upto")).scalar()
     out = []
     for name, q in shares.items():
-        rank = F.lit(float(q)) * (size - 1)
+        rank = F.lit(float(q)) * (last - 1)
         low = F.min(F.when(F.col("upto") > F.floor(rank), F.col(value)))
         high = F.min(F.when(F.col("upto") > F.ceil(rank), F.col(value)))
-        out += [low.alias(f"_low_{name}"), high.alias(f"_high_{name}"), F.first(rank).alias(f"_rank_{name}")]
-    picked = placed.agg(*out)
-    return picked.select(*[
-        (F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * (F.col(f"_rank_{n}") - F.floor(f"_rank_{n}"))).alias(n)
-        for n in shares
-    ])
+        own = F.lit(float(q)) * (size - 1)
+        out.append((low + (high - low) * (own - F.floor(own))).alias(name))
+    return placed.agg(*out)
+
+
+def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:
+    """One row of linearly interpolated percentiles of a column, each under its given name."""
+    n = F.sum(weight) if weight else F.count("*")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(n.alias("n"))
+    return percentiles_of(running_totals(counted, [F.col(value)], {"upto": "n"}), value, shares)

@@ -71,7 +71,7 @@ def disagreement_totals(dual: DataFrame) -> DataFrame:
 
 def dominance(dual: DataFrame, ranks: dict = fixed.DOMINANCE_RANKS) -> DataFrame:
     """On mismatch rows, which source reports the higher worst state."""
-    top = {v: F.greatest(*[health.lookup(F.col(f"{v}_{c}"), ranks, 0) for c in fixed.COMPONENTS]) for v in ("hpe", "dell")}
+    top = {v: F.greatest(*[health.lookup(f"{v}_{c}", ranks, 0) for c in fixed.COMPONENTS]) for v in ("hpe", "dell")}
     hpe, dell = F.col("h"), F.col("d")
     counted = dual.filter(any_mismatch()).select(top["hpe"].alias("h"), top["dell"].alias("d")).agg(
         F.count("*").alias("mismatch_rows"), tally(hpe > dell).alias("hpe_more_severe"),

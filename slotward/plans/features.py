@@ -122,7 +122,7 @@ def label_sql(c):
 @query("scl17_state_labels", f"""
 SELECT observation_id, {', '.join(f'{label_sql(w)} AS {c}_label' for c, w in zip(C, fixed.WORST_COLUMNS))} FROM worst""", "worst")
 def _(spark, sf):
-    labels = [health.rank_label(F.col(w)).alias(f"{c}_label") for c, w in zip(C, fixed.WORST_COLUMNS)]
+    labels = [health.rank_label(w).alias(f"{c}_label") for c, w in zip(C, fixed.WORST_COLUMNS)]
     return tables.stage(spark, sf).select("observation_id", *labels)
 
 
@@ -408,9 +408,9 @@ def _(spark, sf):
 
 
 def _weights_sql(label):
-    return f"""SELECT '{label}' AS label, n AS rows, p AS positives, n - p AS negatives, round(n / (2.0 * (n - p)), 6) AS weight_0,
- round(n / (2.0 * p), 6) AS weight_1, round(CAST(n - p AS DOUBLE) / greatest(p, 1), 6) AS scale_pos_weight
- FROM (SELECT count(*)::DOUBLE::BIGINT AS n, CAST(coalesce(sum({label}), 0) AS BIGINT) AS p FROM master WHERE event_time_ping < TIMESTAMP '{SPLIT}')"""
+    return f"""SELECT '{label}' AS label, n AS rows, p AS positives, n - p AS negatives, round(CAST(n AS DOUBLE) / (2 * (n - p)), 6) AS weight_0,
+ round(CAST(n AS DOUBLE) / (2 * p), 6) AS weight_1, round(CAST(n - p AS DOUBLE) / greatest(p, 1), 6) AS scale_pos_weight
+ FROM (SELECT count(*) AS n, CAST(coalesce(sum({label}), 0) AS BIGINT) AS p FROM master WHERE event_time_ping < TIMESTAMP '{SPLIT}')"""
 
 
 @query("ml10_class_weights", (_weights_sql("target_failure_3slot") + " UNION ALL " + _weights_sql("target_failure_6slot")), "master")

@@ -18,16 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ping_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a reachability observation, duplicates of a slot included."""
     return table(spark, sf_dir, "events").select(
-        F.col("event_id"),
-        F.col("user_id").alias("id"),
-        F.format_string("host-%05d", F.col("user_id")).alias("machine_name"),
-        F.format_string("10.0.%d.%d", F.floor(F.col("user_id") / 256), F.col("user_id") % 256).alias("ip_address"),
-        F.col("ts").alias("event_time"),
+        F.expr("event_id"),
+        F.expr("user_id AS id"),
+        F.expr("format_string('host-%05d', user_id) AS machine_name"),
+        F.expr("concat('10.0.', user_id div 256, '.', user_id % 256) AS ip_address"),
+        F.expr("ts AS event_time"),
         slots.slot_label(F.col("ts")).alias("monitoring_slot"),
-        F.when(F.col("event_type") == UNREACHABLE_EVENT, "Unreachable").otherwise("Reachable").alias("status"),
-        F.regexp_extract("props", r"(\d+)", 1).cast("bigint").alias("k"),
-        F.col("event_type"),
-        F.col("value"),
+        F.expr(f"IF(event_type = '{UNREACHABLE_EVENT}', 'Unreachable', 'Reachable') AS status"),
+        F.expr("CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k"),
+        F.expr("event_type"),
+        F.expr("value"),
     )
 
 
@@ -47,50 +47,39 @@ def ping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ping_full(spark, sf_dir).select(*fixed.CANONICAL_COLUMNS["ping"], "monitoring_slot")
 
 
-def _reading(component: str, shift: Column) -> Column:
+def _state(component: str, shift: str, middle: str) -> str:
     position = fixed.COMPONENTS.index(component) + 1
-    return (F.col("event_id") * 7 + F.col("k") * 13 + position * 31 + shift) % 101
-
-
-def _state(reading: Column, middle: str) -> Column:
-    return (
-        F.when(reading == 0, "Critical").when(reading <= 2, middle).when(reading <= 6, "Degraded").otherwise("OK")
-    )
+    reading = f"(event_id * 7 + k * 13 + {position * 31} + {shift}) % 101"
+    return f"""CASE WHEN {reading} = 0 THEN 'Critical' WHEN {reading} <= 2 THEN '{middle}'
+               WHEN {reading} <= 6 THEN 'Degraded' ELSE 'OK' END AS {component}"""
 
 
 def _problem_text() -> Column:
-    parts = [F.when(F.col(c) != "OK", F.concat(F.lit(c + " "), F.col(c))) for c in fixed.COMPONENTS]
-    joined = F.concat_ws(";", *parts)
-    return F.when(joined == "", "No issues detected").otherwise(joined)
+    parts = ", ".join(f"IF({c} <> 'OK', concat('{c} ', {c}), NULL)" for c in fixed.COMPONENTS)
+    return F.expr(f"coalesce(nullif(concat_ws(';', {parts}), ''), 'No issues detected')")
 
 
-def _hardware(spark, sf_dir, every, shift, middle, jitter) -> DataFrame:
-    base = ping_full(spark, sf_dir, every)
+def _hardware(spark, sf_dir, every: int, shift: str, middle: str, jitter: str) -> DataFrame:
     start = slots.slot_floor(F.col("event_time"))
-    return base.select(
-        "id", "machine_name", "ip_address", "monitoring_slot",
-        (start + F.make_dt_interval(mins=(jitter % 47).cast("int"))).alias("event_time"),
-        *[_state(_reading(c, shift), middle).alias(c) for c in fixed.COMPONENTS],
+    minutes = F.make_dt_interval(mins=F.expr(f"CAST({jitter} % 47 AS INT)"))
+    return ping_full(spark, sf_dir, every).select(
+        "id", "machine_name", "ip_address", "monitoring_slot", (start + minutes).alias("event_time"),
+        *[F.expr(_state(c, shift, middle)) for c in fixed.COMPONENTS],
     ).withColumn("problems", _problem_text())
 
 
 def hpe_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _hardware(spark, sf_dir, 4, F.lit(0), "OK", F.col("k"))
+    rows = _hardware(spark, sf_dir, 4, "0", "OK", "k")
     return rows.withColumnRenamed("problems", "current_problems")
 
 
 def dell_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shift = F.when(F.col("k") % 10 == 0, 17).otherwise(0)
-    rows = _hardware(spark, sf_dir, 2, shift, "NOT OK", F.col("k") * 3)
-    worst = F.greatest(*[
-        F.when(F.col(c) == "Critical", 2).when(F.col(c) == "OK", 0).otherwise(1) for c in fixed.COMPONENTS
-    ])
-    return rows.select(
-        "*",
-        F.lit("OK").alias("status"),
-        F.when(worst == 2, "Critical").when(worst == 1, "Degraded").otherwise("OK").alias("overall_status"),
-        F.col("problems").alias("issues_detected"),
-        F.lit(None).cast("string").alias("comments"),
+    rows = _hardware(spark, sf_dir, 2, "IF(k % 10 = 0, 17, 0)", "NOT OK", "k * 3")
+    worst = ", ".join(f"CASE {c} WHEN 'Critical' THEN 2 WHEN 'OK' THEN 0 ELSE 1 END" for c in fixed.COMPONENTS)
+    return rows.selectExpr(
+        "*", "'OK' AS status",
+        f"element_at(array('OK', 'Degraded', 'Critical'), greatest({worst}) + 1) AS overall_status",
+        "problems AS issues_detected", "CAST(NULL AS STRING) AS comments",
     ).withColumnRenamed("problems", "current_problems")
 
 
