@@ -13,10 +13,15 @@ from ..session import shared_folder
 BLOCK_SHIFT = 33  # fixed value: bits of the in-partition counter of monotonically_increasing_id
 
 
-def _sorted_blocks(df: DataFrame, order: list[Column]) -> DataFrame:
+def pinned(df: DataFrame) -> DataFrame:
+    """Write the rows once to the shared checkpoint folder; later reads do not recompute them."""
     shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _sorted_blocks(df: DataFrame, order: list[Column]) -> DataFrame:
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    tagged = ordered.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    tagged = pinned(ordered.withColumn("_row", F.monotonically_increasing_id()))
     return tagged.withColumn("_block", F.shiftright("_row", BLOCK_SHIFT))
 
 

@@ -71,6 +71,7 @@ def fleet_scores(latest: DataFrame, score: str = "score", offset: Column | None
     The flag compares with `offset` (the detector's own cut-off) or, without one, with the fleet
     threshold; both comparisons are strict.
     """
+    latest = ranking.pinned(latest)
     counted = latest.groupBy(score).agg(F.count("*").alias("n"))
     upto = ranking.running_totals(counted, [F.col(score)], {"upto": "n"})
     threshold = ranking.percentiles_of(upto, score, {"threshold": 1.0 - contamination})
@@ -210,15 +211,12 @@ def recent_alerts(master: DataFrame, n: int = 6, keep: int = 20) -> DataFrame:
     return shown.withColumn("total_alerts", whole)
 
 
-def first_case_per_category(rows: DataFrame, cases: dict[str, Column]) -> DataFrame:
-    """First row (by observation id) of each case."""
-    found = [
-        rows.filter(test).orderBy("observation_id").limit(1).withColumn("case_type", F.lit(name)) for name, test in cases.items()
-    ]
-    out = found[0]
-    for one in found[1:]:
-        out = out.unionByName(one)
-    return out
+def first_case_per_category(rows: DataFrame, cases: dict[str, Column], columns: list[str]) -> DataFrame:
+    """First row (by observation id) of each case, all cases in one pass."""
+    row = F.struct("observation_id", *columns)
+    firsts = rows.agg(*[F.min(F.when(test, row)).alias(name) for name, test in cases.items()])
+    long = shape.rows_of(firsts, [{"case_type": F.lit(name), "row": F.col(f"`{name}`")} for name in cases])
+    return long.filter(F.col("row").isNotNull()).select("case_type", "row.*")
 
 
 def machine_by_ip(gold: DataFrame) -> DataFrame:

@@ -1,9 +1,8 @@
 """Snapshots, histories, alerts, ranks and policy, on scores that SQL can reproduce."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import fixed, health, slots
-from ..functions.numbers import tally
 from ..operators import reports, temporal, vendors
 from ..session import fresh_path
 from ..sources import binding
@@ -263,8 +262,9 @@ CASES = {
     CAST(problems_active_sum_6slot AS BIGINT) AS problems FROM master WHERE {p} ORDER BY observation_id LIMIT 1)""" for n, p in CASES.items()), "master")
 def _(spark, sf):
     rows = tables.master(spark, sf)
-    cases = reports.first_case_per_category(rows, {n: F.expr(p) for n, p in CASES.items()})
-    return cases.select("case_type", "observation_id", "machine_name", "monitoring_slot", F.col("problems_active_sum_6slot").alias("problems"))
+    columns = ["machine_name", "monitoring_slot", "problems_active_sum_6slot"]
+    cases = reports.first_case_per_category(rows, {n: F.expr(p) for n, p in CASES.items()}, columns)
+    return cases.withColumnRenamed("problems_active_sum_6slot", "problems")
 
 
 @query("join06_find_by_ip", """
