@@ -170,8 +170,11 @@ def _joined(rows: DataFrame, order: list[str], text: Column) -> Column:
     return rows.agg(F.array_join(F.transform(ordered, lambda x: x["t"]), ", ")).scalar()
 
 
-def fleet_summary(scored: DataFrame, rated: DataFrame) -> DataFrame:
+def fleet_summary(scored: DataFrame, probability: str = "p12", horizon: str = "3slot") -> DataFrame:
     """One row: tier counts, anomaly counts and the two ranked lists (10 and 5 machines)."""
+    scored = ranking.pinned(scored)
+    risk = risk_columns(probability, horizon)
+    rated = scored.select("machine_name", risk["risk_tier"].alias("risk_tier"), risk["probability_pct"].alias("probability_pct"))
     tiers = rated.agg(
         F.count("*").alias("total_servers"),
         *[tally(F.col("risk_tier") == t.upper()).alias(t) for t in ("normal", "warning", "critical")],

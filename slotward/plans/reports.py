@@ -199,8 +199,7 @@ SELECT count(*) AS total_servers, count(*) FILTER (WHERE tier = 'NORMAL') AS nor
   (SELECT coalesce(string_agg(machine_name, ', ' ORDER BY pct DESC, machine_name), '') FROM
      (SELECT * FROM t WHERE tier <> 'NORMAL' ORDER BY pct DESC, machine_name LIMIT 5)) AS top_at_risk FROM t""", "fleet")
 def _(spark, sf):
-    rows = scored(spark, sf)
-    return reports.fleet_summary(rows, rated(rows, "p12", "3slot"))
+    return reports.fleet_summary(scored(spark, sf))
 
 
 @query("rpt12_sort04_recent_alerts", f"""
