@@ -22,12 +22,13 @@ def tree_nodes(model: PipelineModel, spark) -> pd.DataFrame:
     """Node table of the boosted trees in the last stage; its size is fixed by rounds and depth."""
     path = fresh_path(spark, "trees")
     model.stages[-1].write().overwrite().save(path)
-    weights = spark.read.parquet(f"{path}/treesMetadata").select(F.col("treeID").alias("tree"), F.col("weights").alias("tree_weight"))
+    # the metadata columns are (tree, parameters, weight), their names depend on the Spark release
+    weights = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "parameters", "tree_weight").drop("parameters")
     node = F.col("nodeData")
     nodes = spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"), node["id"].alias("node"), node["prediction"].alias("value"),
-        node["impurityStats"][0].alias("cover"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
-        node["split"]["featureIndex"].alias("feature"), node["split"]["leftCategoriesOrThreshold"][0].alias("threshold"),
+        F.get(node["impurityStats"], 0).alias("cover"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
+        node["split"]["featureIndex"].alias("feature"), F.get(node["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"),
     )
     return nodes.join(weights, "tree").orderBy("tree", "node").toPandas()
 

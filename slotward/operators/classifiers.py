@@ -54,8 +54,11 @@ def _weighted(train: DataFrame, zero: float, one: float) -> DataFrame:
     return train.withColumn("fit_weight", F.col("weight") * factor)
 
 
-def fit(rows: DataFrame, label: str, features: list[str], kind: str) -> PipelineModel:
-    """Fit `logistic`, `forest` or `boosted` trees on labelled rows; a missing label counts as 0."""
+def fit(rows: DataFrame, label: str, features: list[str], kind: str, **settings) -> PipelineModel:
+    """Fit `logistic`, `forest` or `boosted` trees on labelled rows; a missing label counts as 0.
+
+    `settings` override the learner's fixed settings.
+    """
     check_features(features)
     shared_folder(rows.sparkSession)
     train = vectors.training_rows(rows, features, label)
@@ -64,12 +67,12 @@ def fit(rows: DataFrame, label: str, features: list[str], kind: str) -> Pipeline
     balanced = (total / (2 * max(negative, 1.0)), total / (2 * max(positive, 1.0)))
     common = dict(featuresCol=INPUTS, labelCol="label", weightCol="fit_weight")
     if kind == "logistic":
-        learner = LogisticRegression(regParam=1.0 / max(total, 1.0), **LOGISTIC_SETTINGS, **common)
+        learner = LogisticRegression(**{"regParam": 1.0 / max(total, 1.0), **LOGISTIC_SETTINGS, **common, **settings})
         return _stages(features, learner, scale=True).fit(_weighted(train, *balanced))
     if kind == "forest":
-        return _stages(features, RandomForestClassifier(**FOREST_SETTINGS, **common)).fit(_weighted(train, *balanced))
+        return _stages(features, RandomForestClassifier(**{**FOREST_SETTINGS, **common, **settings})).fit(_weighted(train, *balanced))
     if kind == "boosted":
-        learner = GBTClassifier(**GBT_SETTINGS, **common)
+        learner = GBTClassifier(**{**GBT_SETTINGS, **common, **settings})
         return _stages(features, learner).fit(_weighted(train, 1.0, negative / max(positive, 1.0)))
     raise ValueError(f"unknown model kind {kind}")
 

@@ -10,6 +10,7 @@ from ..functions import fixed, health
 from . import ranking
 
 TRAINING_ROWS = 1_000_000  # rows a training table is brought down to, weights kept
+ROWS_PER_TASK = 20_000  # training rows per partition: boosting runs many short jobs
 
 
 def baselines() -> dict[str, Column]:
@@ -58,9 +59,11 @@ def training_rows(rows: DataFrame, features: list[str], label: str, target: int
     y = F.coalesce(F.col(label), F.lit(0)).cast("double").alias("label")
     groups = rows.select(*health.imputed(features, fill_rest=True), y).groupBy(*features, "label").agg(F.count("*").alias("n"))
     groups = ranking.pinned(groups)
-    total = groups.agg(F.sum("n")).first()[0] or 0
+    total, distinct = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     part = max(1, -(-total // target))
     pieces = F.ceil(F.col("n") / part)
-    return groups.withColumn("piece", F.explode(F.sequence(F.lit(1), pieces))).select(
+    rows_out = distinct + total // part
+    split = groups.withColumn("piece", F.explode(F.sequence(F.lit(1), pieces))).select(
         *features, "label", (F.col("n") / pieces).alias("weight")
     )
+    return split.repartition(max(1, -(-rows_out // ROWS_PER_TASK)))

@@ -323,30 +323,43 @@ def served(spark, sf, horizon, rows):
     return classifier(spark, sf, "boosted", f"target_failure_{horizon}", fixed.CLASSIFIER_FEATURES, rows)
 
 
-@query("ml22_ml23_saved_models")
+def _compared(again, name):
+    """Rows, changed scores and the largest score of a reloaded model."""
+    return again.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.when(F.col("before") != F.col("after"), 1)).alias("changed"),
+        F.round(F.max("after"), 6).alias("max_score")).select(F.lit(name).alias("model"), "*")
+
+
+def saved_classifier(spark, sf, horizon):
+    """Train for production, write with its metadata, read back and compare the scores."""
+    rows, folder = model_table(spark, sf), fresh_path(spark, "models")
+    model = served(spark, sf, horizon, rows)
+    scored = ranking.pinned(classifiers.predict(model, split(rows)[1], "before"))
+    best = evaluation.best_f1(evaluation.score_totals(scored, f"target_failure_{horizon}", "before"))
+    classifiers.save(model, f"{folder}/boosted_{horizon}")
+    classifiers.save_metadata(spark, f"{folder}/metadata", {horizon: round(best.first()["optimal_threshold"], 3)})
+    again = classifiers.predict(classifiers.load(f"{folder}/boosted_{horizon}"), scored, "after")
+    return _compared(again.withColumn("n", F.lit(1)), f"boosted_{horizon}")
+
+
+@query("ml22_ml23_saved_detector")
 def _(spark, sf):
-    """Train for production, write, read back and compare scores of the reloaded models."""
-    rows = model_table(spark, sf)
-    folder, parts, cuts = fresh_path(spark, "models"), [], {}
-    forest(spark, sf, rows).write.mode("overwrite").parquet(f"{folder}/isolation_forest")
-    _train, test = split(rows)
-    for horizon in fixed.RISK_POLICY:
-        model, path = served(spark, sf, horizon, rows), f"{folder}/boosted_{horizon}"
-        classifiers.save(model, path)
-        scored = classifiers.predict(model, test)
-        best = evaluation.best_f1(evaluation.score_totals(scored, f"target_failure_{horizon}", "probability_of_failure"))
-        cuts[horizon] = round(best.first()["optimal_threshold"], 3)
-        again = classifiers.predict(classifiers.load(path), scored.withColumnRenamed("probability_of_failure", "before"), "after")
-        parts.append(again.agg(
-            F.count("*").alias("rows"), F.count(F.when(F.col("before") != F.col("after"), 1)).alias("changed"),
-            F.round(F.max("after"), 6).alias("max_probability")).withColumn("model", F.lit(f"boosted_{horizon}")))
-    before = isolation.score(collapsed(rows), forest(spark, sf, rows), FEATURES, name="before")
-    after = isolation.score(before, spark.read.parquet(f"{folder}/isolation_forest"), FEATURES, name="after")
-    parts.append(after.agg(
-        F.sum("n").alias("rows"), F.count(F.when(F.col("before") != F.col("after"), 1)).alias("changed"),
-        F.round(F.max("after"), 6).alias("max_probability")).withColumn("model", F.lit("isolation_forest")))
-    classifiers.save_metadata(spark, f"{folder}/metadata", cuts)
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows, path = model_table(spark, sf), fresh_path(spark, "models")
+    nodes = forest(spark, sf, rows)
+    nodes.write.mode("overwrite").parquet(f"{path}/isolation_forest")
+    before = isolation.score(collapsed(rows), nodes, FEATURES, name="before")
+    after = isolation.score(before, spark.read.parquet(f"{path}/isolation_forest"), FEATURES, name="after")
+    return _compared(after, "isolation_forest")
+
+
+@query("ml22_ml23_saved_classifier_12h")
+def _(spark, sf):
+    return saved_classifier(spark, sf, "3slot")
+
+
+@query("ml22_ml23_saved_classifier_24h")
+def _(spark, sf):
+    return saved_classifier(spark, sf, "6slot")
 
 
 # --- explanations ----------------------------------------------------------------------------
