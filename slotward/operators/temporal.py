@@ -31,15 +31,15 @@ def failing_now() -> Column:
     return ((F.col("ping_status_binary") == 1) | (F.col("critical_component_count") > 0)).cast("int")
 
 
-def history_features(rows: DataFrame) -> DataFrame:
+def history_columns() -> dict[str, Column]:
     ping, problem = F.col("ping_status_binary"), F.col("has_active_problem")
-    return rows.withColumns({
+    return {
         "ping_status_binary_lag1": F.lag(ping, 1).over(series()),
         "ping_status_binary_lag2": F.lag(ping, 2).over(series()),
         "ping_timeout_rate_3slot": F.avg(ping).over(last_rows(3)),
         "ping_timeout_rate_6slot": F.avg(ping).over(last_rows(6)),
         "problems_active_sum_6slot": F.sum(problem).over(last_rows(6)).cast("int"),
-    })
+    }
 
 
 def ahead_max(value: Column, n: int, start: int = 1) -> Column:
@@ -47,19 +47,28 @@ def ahead_max(value: Column, n: int, start: int = 1) -> Column:
     return F.max(value).over(next_rows(n, start))
 
 
-def labels(rows: DataFrame) -> DataFrame:
+def label_columns() -> dict[str, Column]:
     failing, ping, critical = failing_now(), F.col("ping_status_binary"), F.col("critical_component_count")
-    return rows.withColumns({
+    return {
         "helper_current_failure_state": failing,
         "target_failure_3slot": ahead_max(failing, 3),
         "target_failure_6slot": ahead_max(failing, 6),
         "target_network_alert_3slot": ahead_max(ping, 3),
         "target_hardware_failure_3slot": (ahead_max(critical, 3) >= 1).cast("int"),
-    })
+    }
+
+
+def history_features(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(history_columns())
+
+
+def labels(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(label_columns())
 
 
 def build_master(row_features: DataFrame) -> DataFrame:
-    return labels(history_features(row_features))
+    """History and labels side by side, so that one window operator computes all frames."""
+    return row_features.withColumns({**history_columns(), **label_columns()})
 
 
 def latest_per_machine(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
