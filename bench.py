@@ -43,7 +43,7 @@ def models(spark):
     def detector():
         found = plans.collapsed(table)
         scored = ranking.pinned(isolation.score(found, ranking.pinned(isolation.fit(table, features)), features))
-        cut = plans.offset_of(scored).scalar()
+        cut = plans.offset_of(scored)
         run(scored.withColumn("flag", F.col("score") > cut))
 
     def scaled():

@@ -54,22 +54,25 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str]) ->
     return joined.withColumns(out).drop("_row", "_block", *helpers)
 
 
-def percentiles_of(placed: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """Interpolated percentiles from distinct values and their running count `upto`."""
-    size = F.max("upto")
-    last = placed.agg(F.max("upto")).scalar()
-    out = []
-    for name, q in shares.items():
-        rank = F.lit(float(q)) * (last - 1)
-        low = F.min(F.when(F.col("upto") > F.floor(rank), F.col(value)))
-        high = F.min(F.when(F.col("upto") > F.ceil(rank), F.col(value)))
-        own = F.lit(float(q)) * (size - 1)
-        out.append((low + (high - low) * (own - F.floor(own))).alias(name))
-    return placed.agg(*out)
-
-
-def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:
-    """One row of linearly interpolated percentiles of a column, each under its given name."""
+def percentiles_of(placed: DataFrame, value: str, shares: dict[str, float]) -> dict[str, float]:
+    """Linearly interpolated percentiles from distinct values and their running count `upto`.
+
+    Only the count and two values per percentile reach the driver.
+    """
+    size = placed.agg(F.max("upto")).first()[0]
+    if not size:
+        return dict.fromkeys(shares)
+    ranks = {name: q * (size - 1) for name, q in shares.items()}
+    ends = [(name, end, int(rank) + (end == "high" and rank > int(rank))) for name, rank in ranks.items() for end in ("low", "high")]
+    found = placed.agg(*[F.min(F.when(F.col("upto") > at, F.col(value))).alias(f"{end}_{name}") for name, end, at in ends]).first()
+    return {
+        name: float(found[f"low_{name}"]) + (float(found[f"high_{name}"]) - float(found[f"low_{name}"])) * (rank - int(rank))
+        for name, rank in ranks.items()
+    }
+
+
+def exact_percentiles(df: DataFrame, value: str, shares: dict[str, float], weight: str | None = None) -> dict[str, float]:
+    """Exact percentiles of a column, each under its given name; `weight` counts a row several times."""
     n = F.sum(weight) if weight else F.count("*")
     counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(n.alias("n"))
     return percentiles_of(running_totals(counted, [F.col(value)], {"upto": "n"}), value, shares)

@@ -74,10 +74,9 @@ def fleet_scores(latest: DataFrame, score: str = "score", offset: Column | None
     latest = ranking.pinned(latest)
     counted = latest.groupBy(score).agg(F.count("*").alias("n"))
     upto = ranking.running_totals(counted, [F.col(score)], {"upto": "n"})
-    threshold = ranking.percentiles_of(upto, score, {"threshold": 1.0 - contamination})
-    fleet = upto.agg(F.max("upto")).scalar()
+    cut = F.lit(ranking.percentiles_of(upto, score, {"cut": 1.0 - contamination})["cut"])
+    fleet = F.lit(latest.count())
     ranked = ranking.with_position(latest, [F.desc(F.round(score, 4)), F.col("machine_name")], "fleet_rank")
-    cut = threshold.scalar()
     return ranked.join(upto.select(score, "upto"), score).select(
         "*", F.round(cut, 6).alias("threshold"), (F.col(score) > (cut if offset is None else offset)).alias("is_anomaly"),
         share(F.col("upto"), fleet, 100).alias("percentile"), F.round(F.col(score) - cut, 6).alias("score_delta"),
@@ -87,13 +86,14 @@ def fleet_scores(latest: DataFrame, score: str = "score", offset: Column | None
 
 def score_distribution(scored: DataFrame, score: str = "score") -> DataFrame:
     """Spread of the fleet's scores and how many machines are flagged."""
-    median = ranking.exact_percentiles(scored, score, {"median": 0.5}).scalar()
+    scored = ranking.pinned(scored)
+    median = ranking.exact_percentiles(scored, score, {"median": 0.5})["median"]
     return scored.agg(
         F.count("*").alias("total_servers"), F.min(score).alias("min_score"), F.max(score).alias("max_score"),
         F.round(F.avg(score), 6).alias("mean_score"), F.round(F.stddev_pop(score), 6).alias("std_score"),
         tally(F.col("is_anomaly")).alias("total_anomalies"), F.max("threshold").alias("threshold"),
         share(tally(F.col("is_anomaly")), F.count("*"), 100).alias("anomaly_rate_pct"),
-    ).withColumn("median_score", F.round(median, 6))
+    ).withColumn("median_score", F.round(F.lit(median), 6))
 
 
 def anomaly_reason() -> Column:
@@ -203,15 +203,15 @@ def recent_alerts(master: DataFrame, n: int = 6, keep: int = 20) -> DataFrame:
         (problems >= 3, F.concat(F.lit("Sustained problems: "), problems, F.lit(" active over 24h"))),
         (down, F.lit("Server unreachable")),
     ])
-    alerts = temporal.recent_rows(master, n).filter((critical > 0) | (rate > 0.5) | (problems >= 3) | down)
-    whole = alerts.agg(F.count("*")).scalar()
-    shown = alerts.select(
+    alerts = temporal.recent_rows(master, n).filter((critical > 0) | (rate > 0.5) | (problems >= 3) | down).select(
         "machine_name", slots.time_text(F.col("event_time_ping")).alias("event_time"), F.col("monitoring_slot").alias("slot"),
         F.array_join(reasons, "; ").alias("alert_reasons"), ping_text().alias("ping_status"),
         F.round(rate, 3).alias("ping_timeout_rate_6slot"), critical.alias("critical_components"),
         problems.alias("problems_active_sum_6slot"),
-    ).orderBy(F.desc("ping_timeout_rate_6slot"), "machine_name", "slot").limit(keep)
-    return shown.withColumn("total_alerts", whole)
+    )
+    alerts = ranking.pinned(alerts)  # counted and ranked: the history behind it is walked once
+    shown = alerts.orderBy(F.desc("ping_timeout_rate_6slot"), "machine_name", "slot").limit(keep)
+    return shown.withColumn("total_alerts", F.lit(alerts.count()))
 
 
 def first_case_per_category(rows: DataFrame, cases: dict[str, Column], columns: list[str]) -> DataFrame:

@@ -115,8 +115,7 @@ def collapsed(rows):
 def grid_flags(scored, score="score"):
     """Strict score cuts of the contamination grid from one set of scores."""
     cuts = ranking.exact_percentiles(scored, score, {f"c{i}": 1 - c for i, c in enumerate(fixed.CONTAMINATION_GRID)}, "n")
-    row = cuts.select(F.struct("*")).scalar()
-    return {f"c={c}": F.col(score) > row[f"c{i}"] for i, c in enumerate(fixed.CONTAMINATION_GRID)}
+    return {f"c={c}": F.col(score) > cuts[f"c{i}"] for i, c in enumerate(fixed.CONTAMINATION_GRID)}
 
 
 @query("ml07_contamination_grid", f"WITH m AS (SELECT *, {STANDIN} AS score FROM master), cuts AS (SELECT "
@@ -155,7 +154,7 @@ def forest_vectors(spark, sf):
 
 
 def offset_of(scored, score="score", contamination=fixed.CONTAMINATION):
-    return ranking.exact_percentiles(scored, score, {"cut": 1 - contamination}, "n")
+    return ranking.exact_percentiles(scored, score, {"cut": 1 - contamination}, "n")["cut"]
 
 
 @query("ml03_isolation_scores")
@@ -163,7 +162,7 @@ def _(spark, sf):
     rows = model_table(spark, sf)
     nodes = forest(spark, sf, rows)
     scored = forest_vectors(spark, sf)
-    cut = offset_of(scored).scalar()
+    cut = offset_of(scored)
     each = rows.select("observation_id", "machine_name", *health.imputed(FEATURES, fill_rest=True))
     flagged = isolation.score(each, nodes, FEATURES)
     return flagged.select("observation_id", "machine_name", "score", (F.col("score") > cut).alias("is_anomaly"))
@@ -178,7 +177,7 @@ def _(spark, sf):
 @query("ml03_sort06_case_studies")
 def _(spark, sf):
     rows = model_table(spark, sf)
-    cut = offset_of(forest_vectors(spark, sf)).scalar()
+    cut = offset_of(forest_vectors(spark, sf))
     filled = rows.select("observation_id", "machine_name", "monitoring_slot", "helper_current_failure_state",
                          *health.imputed(FEATURES, fill_rest=True))
     flagged = isolation.score(filled, forest(spark, sf, rows), FEATURES).filter(F.col("score") > cut)
@@ -196,7 +195,7 @@ def standardized(spark, sf):
 
 def one_class_flagged(scaled):
     decided = ranking.pinned(oneclass.OneClass(FEATURES).fit(scaled).decide(scaled))
-    cut = ranking.exact_percentiles(decided, "decision", {"cut": fixed.ONE_CLASS_NU}, "n").scalar()
+    cut = ranking.exact_percentiles(decided, "decision", {"cut": fixed.ONE_CLASS_NU}, "n")["cut"]
     return decided.withColumn("one_class", F.col("decision") < cut)
 
 
@@ -243,7 +242,7 @@ def bottleneck_scored(rows, found):
 def _(spark, sf):
     rows = model_table(spark, sf)
     scored = bottleneck_scored(rows, collapsed(rows))
-    cut = ranking.exact_percentiles(scored, "mse", {"cut": 1 - fixed.CONTAMINATION}, "n").scalar()
+    cut = ranking.exact_percentiles(scored, "mse", {"cut": 1 - fixed.CONTAMINATION}, "n")["cut"]
     flagged = scored.withColumn("is_anomaly", F.col("mse") >= cut)
     return flagged.groupBy("is_anomaly").agg(
         F.count("*").alias("vectors"), F.sum("n").alias("rows"), F.sum("helper").alias("incidents"), F.round(F.avg("mse"), 6).alias("mean_mse"))
@@ -259,8 +258,8 @@ def _(spark, sf):
     scaled = vectors.scaled(scored, FEATURES)
     flagged = ranking.pinned(one_class_flagged(ranking.pinned(scaled)))
     noisy = ranking.pinned(density.noise(flagged, FEATURES))
-    cuts = ranking.exact_percentiles(noisy, "score", {"cut": 1 - fixed.CONTAMINATION}, "n").scalar()
-    mse = ranking.exact_percentiles(noisy, "mse", {"cut": 1 - fixed.CONTAMINATION}, "n").scalar()
+    cuts = ranking.exact_percentiles(noisy, "score", {"cut": 1 - fixed.CONTAMINATION}, "n")["cut"]
+    mse = ranking.exact_percentiles(noisy, "mse", {"cut": 1 - fixed.CONTAMINATION}, "n")["cut"]
     return evaluation.detector_metrics(noisy, {
         "Isolation Forest": F.col("score") > cuts, "One-Class SVM": F.col("one_class"),
         "DBSCAN": F.col("is_noise"), "AutoEncoder": F.col("mse") >= mse,
@@ -410,7 +409,7 @@ def newest(rows):
 
 def fleet_detected(spark, sf, rows):
     """Fleet scores of the fitted detector: the flag uses its own cut-off, the threshold is the fleet's."""
-    cut = offset_of(forest_vectors(spark, sf)).scalar()
+    cut = offset_of(forest_vectors(spark, sf))
     last = newest(rows)
     filled = last.select("machine_name", *health.imputed(FEATURES, fill_rest=True))
     scored = isolation.score(filled, forest(spark, sf, rows), FEATURES)

@@ -116,8 +116,10 @@ def test_positions_and_percentiles_over_many_blocks(spark):
     hot = df.withColumn("k", F.when(F.col("v") < 900, 0).otherwise(F.col("k")))
     sums = ranking.running_totals(hot.groupBy("k").agg(F.count("*").alias("n")), [F.col("k")], {"upto": "n"})
     assert sums.agg(F.max("upto")).first()[0] == 1000
-    row = ranking.exact_percentiles(df, "v", {"a": 0.5, "b": 0.98, "c": 1.0}).first()
-    assert (row.a, round(row.b, 6), row.c) == (499.5, 979.02, 999)
+    got = ranking.exact_percentiles(df, "v", {"a": 0.5, "b": 0.98, "c": 1.0})
+    assert (got["a"], round(got["b"], 6), got["c"]) == (499.5, 979.02, 999)
+    weighted = spark.createDataFrame([(1.0, 3), (2.0, 1)], "v double, n long")
+    assert ranking.exact_percentiles(weighted, "v", {"a": 0.75, "b": 0.9}, "n") == {"a": 1.25, "b": pytest.approx(1.7)}
 
 
 def test_p95_is_the_element_at_the_floor_index(spark):
