@@ -20,7 +20,7 @@ def ping_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.expr("event_id"),
         F.expr("user_id AS id"),
-        F.expr("format_string('host-%05d', user_id) AS machine_name"),
+        F.expr("concat('host-', lpad(CAST(user_id AS STRING), greatest(5, length(CAST(user_id AS STRING))), '0')) AS machine_name"),
         F.expr("concat('10.0.', user_id div 256, '.', user_id % 256) AS ip_address"),
         F.expr("ts AS event_time"),
         slots.slot_label(F.col("ts")).alias("monitoring_slot"),
