@@ -17,10 +17,20 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lowered(words: Column) -> Column:
+    """Lower-case array items. Whole texts are not lowered: outside ASCII that costs more than all the rest."""
+    return F.transform(words, lambda w: F.when(w.rlike(r"\p{Lu}"), F.lower(w)).otherwise(w))
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits; an empty array for null."""
-    pieces = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(pieces, lambda w: w != "")
+    pieces = F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+")
+    return lowered(F.filter(pieces, lambda w: w != ""))
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """The frame as a broadcast side if it is counted to have at most `rows` rows, as it is otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def _ranked(node: str, turn: int) -> Column:
