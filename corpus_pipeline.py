@@ -6,7 +6,8 @@ import functools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from slotward.llm import common, decontamination, minhash, toxicity
+from slotward.llm import common, decontamination, minhash, pii, segmentation, toxicity
+from slotward.llm.queries import tokenizer
 from slotward.session import fresh_path
 
 #: The last stage samples segmentations; a model and a random draw have no SQL.
@@ -29,10 +30,24 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontamination.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; n_chars follows the new text."""
+    spans = common.pinned(pii.annotated(docs).select("_spans"))
+    found = pii.masked(docs, pii.fit(pii.patterns(spans)))
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def segmentation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document that is left."""
+    return segmentation.digests(docs, tokenizer("piece_bpe_32k.model"))
+
+
 STAGES = [
     ("toxicity", toxicity_stage),
     ("near_dedup", near_dedup_stage),
     ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("segmentation", segmentation_stage),
 ]
 
 

@@ -136,7 +136,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = mixed(keys * GOLD + marks.reshape(-1, BANDS, ROWS)[:, :, k])
             keys = mixed(keys + np.arange(BANDS, dtype=np.uint64))
             keys = _lists(keys.ravel(), np.full(end - begin, BANDS))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), batch.column("node").slice(begin, end - begin), keys], ["doc_id", "node", "keys"])
+            names = ["doc_id", "digest", "node"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(begin, end - begin) for n in names), keys], [*names, "keys"])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +153,11 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def coded(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, codes): 64-bit codes of the words, and a digest of the word list (null without words)."""
-    found = docs.select("doc_id", common.words(F.col("text")).alias("words"))
+    """(doc_id, digest, node, codes): digests of the text and of its word list (null without words), word codes."""
+    doc_id, digest = F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest")
+    found = docs.select(doc_id, digest, common.words(F.col("text")).alias("words"))
     node = F.when(F.size("words") > 0, F.unhex(F.md5(F.array_join("words", " "))))
-    return found.select("doc_id", node.alias("node"), F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
+    return found.select("doc_id", "digest", node.alias("node"), F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
 
 
 def _overlap(a: str, b: str) -> F.Column:
@@ -201,11 +203,11 @@ def _rest(members: DataFrame, elements: DataFrame, similarity: float) -> DataFra
     return _pairs(asking.join(answer, "element").filter(close))
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, class_size, texts) for every row: its class, rows and different texts in the class."""
+def linked(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, node) of every row, and (node, component) of every different word list."""
     rows = coded(docs)
-    schema = "doc_id long, node binary, keys array<long>"
-    signed = common.pinned(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_bands, schema))
+    schema = "doc_id long, digest long, node binary, keys array<long>"
+    signed = common.pinned(rows.mapInArrow(_bands, schema))
     texts = signed.filter("node is not null").groupBy("node").agg(F.first("keys").alias("keys"))
     spread = texts.select("node", F.explode("keys").alias("key"))
     leaders = spread.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("held")).filter("held > 1")
@@ -233,10 +235,35 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         if not more.isEmpty():
             links = links.union(more)
             found = common.components(links)
-    named = _with_class(texts.select("node"), found)
-    counted = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    return signed.drop("keys"), _with_class(texts.select("node"), found)
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id, class_size, texts) for every row: its class, rows and different texts in the class."""
+    rows, named = linked(docs, similarity)
+    counted = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     summed = counted.join(named, "node").groupBy("component").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"), F.count("*").alias("texts"))
-    labels = named.join(summed, "component").drop("component")
-    out = signed.select("doc_id", "node").join(labels, "node", "left")
+    out = rows.join(named.join(summed, "component").drop("component"), "node", "left")
     own = F.col("node").isNull()
-    return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"), F.when(own, 1).otherwise(F.col("texts")).cast("long").alias("texts"))
+    return out.select(
+        "doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        *[F.when(own, 1).otherwise(F.col(c)).cast("long").alias(c) for c in ("class_size", "texts")])
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of `docs` with one row of every class: that of the least doc_id (nulls last), then text digest.
+
+    The rows to go are found by (doc_id, text digest); rows equal in both are told apart last, among themselves.
+    """
+    rows, named = linked(docs, similarity)
+    keys = rows.filter("node is not null").groupBy("node", "doc_id", "digest").agg(F.count("*").alias("copies"))
+    placed = keys.join(named, "node")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = placed.groupBy("component").agg(F.min(order).alias("first"))
+    judged = placed.join(first, "component").withColumn("stays", order == F.col("first"))
+    marked = judged.filter("not stays or copies > 1").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "stays")
+    marked = common.bounded(common.pinned(marked), broadcast_rows)
+    same = F.col("_doc").eqNullSafe(docs["doc_id"].cast("long")) & (F.col("_digest") == F.xxhash64(docs["text"]))
+    single = docs.join(marked, same, "left_anti")
+    repeated = docs.join(marked.filter("stays").drop("stays"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated)

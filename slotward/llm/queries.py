@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, minhash, toxicity
+from . import common, decontamination, minhash, pii, quality, segmentation, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public vocabulary file; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(build):
     QUERIES[build.__name__] = build
     return build
@@ -23,6 +30,13 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(common.table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its spans of personal data."""
+    spans = common.pinned(pii.annotated(common.table(spark, sf_dir, "documents")).select("doc_id", "_spans"))
+    return pii.report(pii.decided(spans, pii.fit(pii.patterns(spans))))
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its toxicity score."""
@@ -35,3 +49,23 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark items found in it."""
     docs, items = (common.table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     return decontamination.contaminated(docs, items)
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base measures and the verdict of the rule cascade."""
+    found = quality.judged(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of tokens."""
+    found = token_counts.counted(common.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, with digests and scores."""
+    return segmentation.digests(common.table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))

@@ -67,7 +67,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     place = (np.arange(len(code)) - np.repeat(start, size[filled])).astype(np.uint64)
     owners.append(filled)
     hashes.append(np.add.reduceat(mixed(code + (place << np.uint64(32))), start))
-    return np.concatenate(owners), (mixed(np.concatenate(hashes)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.concatenate(owners), (mixed(np.concatenate(hashes)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -87,7 +87,8 @@ def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
             order = np.argsort(owner, kind="stable")
             known |= zip(new, np.split(ids[order], np.cumsum(np.bincount(owner, minlength=len(new)))[:-1]))
         cells = np.concatenate([known[w] for w in words]) if words else np.zeros(0, dtype=np.int64)
-        found.append(np.unique(cells, return_counts=True))
+        ids, n = np.unique(cells, return_counts=True)
+        found.append((ids.astype(np.int32), n.astype(np.float32)))
     return found
 
 
