@@ -23,6 +23,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import common
+
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, in forms that find the same matches without retrying inside a run.
 BASE = {
@@ -53,22 +55,6 @@ VOTES = ("shape", "gazetteer", "context", "edges")
 SURFACE = ("before", "after", "length")
 PATTERNS = len(KINDS) * 3 ** len(VOTES) * 4 * 4 * 4
 ROUNDS = 40
-BLOCK = 64
-
-
-def _running(steps: Column) -> Column:
-    """Running sums of an array, block by block, so that long arrays are not copied once per item."""
-    zero = F.array(F.lit(0).cast("long"))
-
-    def sums(items: Column) -> Column:
-        return F.aggregate(items, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-
-    count = F.floor((F.size(steps) - 1) / BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), count), lambda k: F.slice(steps, k * BLOCK + 1, BLOCK))
-    inner = F.transform(blocks, lambda b: F.slice(sums(b), 2, F.size(b)))
-    pair = F.transform(F.array(inner), lambda s: F.struct(s.alias("s"), sums(F.transform(s, lambda b: F.element_at(b, -1))).alias("base")))
-    moved = F.transform(pair, lambda p: F.flatten(F.transform(p["s"], lambda b, k: F.transform(b, lambda v: v + F.get(p["base"], k)))))
-    return F.get(moved, F.lit(0))
 
 
 def _found(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
@@ -80,7 +66,7 @@ def _found(df: DataFrame, name: str, pattern: str, when: Column) -> DataFrame:
     df = df.withColumn("_gaps", F.when(F.size(hits) > 0, gaps))
     steps = F.transform("_gaps", lambda g, k: g + F.when(k > 0, F.length(F.get(hits, k - 1))).otherwise(0))
     df = df.withColumn("_steps", F.when(F.size(hits) > 0, steps))
-    df = df.withColumn("_starts", F.when(F.size(hits) > 0, _running(F.col("_steps"))))
+    df = df.withColumn("_starts", F.when(F.size(hits) > 0, common.running(F.col("_steps"))))
     spans = F.transform(hits, lambda h, k: F.struct(F.get("_starts", k).alias("start"), (F.get("_starts", k) + F.length(h)).alias("end"), h.alias("hit")))
     return df.withColumn(name, spans).drop("_hits", "_gaps", "_steps", "_starts")
 

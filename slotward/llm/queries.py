@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontamination, minhash, pii, quality, segmentation, token_counts, toxicity
+from . import chat, common, decontamination, line_dedup, minhash, pii, quality, segmentation, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,66 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every document, with digests and scores."""
     return segmentation.digests(common.table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+OP9_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, line, v,
+         sum(length(v) + 1) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS fin
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS v,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents)
+), units AS (
+  SELECT doc_id, line, fin - length(v) AS start, fin,
+         lower(trim(regexp_replace(v, '[ \t\r\x0b\f]+', ' ', 'g'), ' ')) AS unit
+  FROM lines
+), kept AS (
+  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, line) AS nth
+  FROM units WHERE len(string_split(unit, ' ')) >= 8
+), removed AS (
+  SELECT doc_id, sum(fin - start)::BIGINT AS n_removed, count(*) AS n_spans,
+         string_agg(start::BIGINT || ':' || fin::BIGINT, ',' ORDER BY line) AS spans
+  FROM kept WHERE nth > 1 GROUP BY doc_id
+)
+SELECT d.doc_id, length(coalesce(d.text, ''))::BIGINT AS n_chars, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN removed USING (doc_id)
+"""
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the spans of lines that occur earlier."""
+    return line_dedup.report(common.table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS said FROM conversations
+), people AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'
+), seen AS (
+  SELECT t.conv_id, perspective, turn, role, role = perspective AS is_target, said,
+         '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system'
+                                ELSE 'user name=' || replace(role, '<|im_', '<| im_') END || chr(10) AS header
+  FROM turns t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), whole AS (
+  SELECT *, header || said || '<|im_end|>' || chr(10) AS segment FROM seen
+), placed AS (
+  SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, segment
+                                       ROWS UNBOUNDED PRECEDING)::BIGINT AS fin FROM whole
+)
+SELECT conv_id, perspective, turn, role, is_target, fin - length(segment) AS start, fin AS "end",
+       CASE WHEN is_target THEN fin - length(segment) + length(header) END AS mask_start,
+       CASE WHEN is_target THEN fin - 1 END AS mask_end, md5(segment) AS segment_md5
+FROM placed
+"""
+
+
+@query
+def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as rendered for every participant, with its place, mask and digest."""
+    found = chat.rotated(common.table(spark, sf_dir, "conversations"))
+    return found.withColumn("segment_md5", F.md5("segment")).drop("segment")
+
+
+ORACLES |= {"op5_chat_rotation": OP5_SQL, "op9_line_dedup": OP9_SQL}
