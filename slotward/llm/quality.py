@@ -87,7 +87,7 @@ def _crowded(m: Measured) -> bool:
 RULES: dict[str, Callable[[Measured], bool]] = {
     "word_length": lambda m: not 2 * m.n_words <= m.word_chars <= 15 * m.n_words,
     "symbols": lambda m: 10 * m.n_symbols > 3 * m.n_words,
-    "repeated_lines": lambda m: 10 * m.n_dup_lines > 3 * m.n_lines,
+    "repeated_lines": lambda m: 2 * m.n_dup_lines > m.n_lines,
     "repeated_words": lambda m: 10 * m.n_repeat_words > 4 * m.n_words,
     "wordless": _wordless,
     "crowded": _crowded,
