@@ -144,5 +144,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` in which no item is found, all columns kept."""
     found = hits(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("_digest").alias("_found")).distinct()
-    same = F.col("_doc").eqNullSafe(docs["doc_id"]) & (F.col("_found") == F.xxhash64(docs["text"]))
+    same = found["_doc"].eqNullSafe(docs["doc_id"]) & (found["_found"] == F.xxhash64(docs["text"]))
     return docs.join(found, same, "left_anti")

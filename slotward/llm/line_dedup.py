@@ -46,7 +46,7 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _joined(docs: DataFrame, removed: DataFrame) -> DataFrame:
     removed = removed.toDF("_doc", "_digest", "_removed")
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_digest"))
+    same = docs["doc_id"].eqNullSafe(removed["_doc"]) & (F.xxhash64(docs["text"]) == removed["_digest"])
     none = F.array().cast("array<struct<line:int,start:bigint,end:bigint>>")
     return docs.join(removed, same, "left").withColumn("_removed", F.coalesce("_removed", none)).drop("_doc", "_digest")
 

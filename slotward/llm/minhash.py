@@ -263,7 +263,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, broadcast_rows
     judged = placed.join(first, "component").withColumn("stays", order == F.col("first"))
     marked = judged.filter("not stays or copies > 1").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "stays")
     marked = common.bounded(common.pinned(marked), broadcast_rows)
-    same = F.col("_doc").eqNullSafe(docs["doc_id"].cast("long")) & (F.col("_digest") == F.xxhash64(docs["text"]))
+    same = marked["_doc"].eqNullSafe(docs["doc_id"].cast("long")) & (marked["_digest"] == F.xxhash64(docs["text"]))
     single = docs.join(marked, same, "left_anti")
     repeated = docs.join(marked.filter("stays").drop("stays"), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated)

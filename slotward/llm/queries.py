@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, common, decontamination, line_dedup, minhash, pii, quality, segmentation, token_counts, toxicity
+from . import chat, common, decontamination, line_dedup, minhash, pii, quality, segmentation, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,9 @@ def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES |= {"op5_chat_rotation": OP5_SQL, "op9_line_dedup": OP9_SQL}
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what remains after the removal of repeated 200-byte strings."""
+    return substring_dedup.report(common.table(spark, sf_dir, "documents"))
