@@ -33,7 +33,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5  # a pair at 0.8 shares a band with probability 0.99995
 REGISTERS = BANDS * ROWS
-TURNS = 3  # leaders per band before the exact rest
 SLICE = 200_000  # words handled at once in a worker
 GOLD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -186,8 +185,7 @@ def _rest(members: DataFrame, elements: DataFrame, similarity: float) -> DataFra
     Two sets with overlap t share an element among the first (1 - t) n + 1 of each, in any fixed order;
     rare elements come first here. Members of an element's largest class only answer.
     """
-    nodes = members.select("node", "component").distinct()
-    spread = nodes.join(elements, "node").select("node", "component", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+    spread = members.join(elements, "node").select("node", "component", F.size("elements").alias("n"), F.explode("elements").alias("element"))
     spread = common.pinned(spread)
     rare = spread.groupBy("element").agg(F.count("*").alias("texts"))
     per_text = spread.join(rare, "element").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "element"))).alias("sorted"))
@@ -219,22 +217,14 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     pairs = common.pinned(_pairs(members.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
     links = common.pinned(verified(pairs, elements, similarity))
     found = common.components(links)
-    for turn in range(TURNS):
-        placed = _with_class(members.select("key", "node"), found)
-        mixed_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(turn), "node")).alias("leader")).filter("low != high")
-        members = common.pinned(placed.join(mixed_keys.select("key", "leader"), "key"))
-        if members.isEmpty():
-            break
-        if turn == TURNS - 1:
-            asked = _rest(members.select("node", "component"), elements, similarity)
-        else:
-            asked = _pairs(members.filter(F.col("component") != F.col("leader.component")).select(F.col("node").alias("a"), F.col("leader.node").alias("b")))
-        fresh = common.pinned(asked.join(pairs, ["a", "b"], "left_anti"))
-        pairs = pairs.union(fresh)
+    placed = _with_class(members.select("key", "node"), found)
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    members = common.pinned(placed.join(open_keys.select("key"), "key", "left_semi").select("node", "component").distinct())
+    if not members.isEmpty():
+        fresh = common.pinned(_rest(members, elements, similarity).join(pairs, ["a", "b"], "left_anti"))
         more = common.pinned(verified(fresh, elements, similarity))
         if not more.isEmpty():
-            links = links.union(more)
-            found = common.components(links)
+            found = common.components(links.union(more))
     return signed.drop("keys"), _with_class(texts.select("node"), found)
 
 

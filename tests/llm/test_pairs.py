@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import ODD, prose  # noqa: F401 - tests/llm/conftest.py
+from samples import ODD, prose
 
 from slotward.llm import common, line_dedup, minhash, substring_dedup, suffix
 

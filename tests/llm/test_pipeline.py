@@ -1,7 +1,7 @@
 """Stages of the pipeline against the operators' brute-force answers."""
 
 import corpus_pipeline
-from conftest import ODD, prose
+from samples import ODD, prose
 
 from slotward.llm import decontamination, minhash, segmentation
 from slotward.llm.queries import QUERIES

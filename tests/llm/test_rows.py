@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import ODD, prose
+from samples import ODD, prose
 
 from slotward.llm import chat, common, decontamination, pii, quality, segmentation, token_counts, toxicity
 
@@ -87,7 +87,7 @@ def test_running_sums(spark):
 
 
 def test_toxicity_on_held_out_rows(spark, sf):
-    docs, labels = common.table(spark, sf.replace("0.001", "0.01"), "documents"), common.table(spark, sf.replace("0.001", "0.01"), "labels")
+    docs, labels = (common.table(spark, sf.replace("0.001", "0.1"), name) for name in ("documents", "labels"))
     found = {r["doc_id"]: r for r in toxicity.detect(docs, labels).collect()}
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     for i, r in found.items():
@@ -95,7 +95,7 @@ def test_toxicity_on_held_out_rows(spark, sf):
     held = [(found[i]["score"], y) for i, y in truth.items() if found[i]["held_out"]]
     bad, good = [s for s, y in held if y], [s for s, y in held if not y]
     ranks = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
-    assert ranks > 0.8
+    assert ranks > 0.93
 
 
 def test_toxicity_generalises_to_misspellings():
