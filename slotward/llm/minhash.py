@@ -190,14 +190,16 @@ def _rest(members: DataFrame, elements: DataFrame, similarity: float) -> DataFra
     rare = spread.groupBy("element").agg(F.count("*").alias("texts"))
     per_text = spread.join(rare, "element").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "element"))).alias("sorted"))
     size = F.floor((1 - similarity) * F.col("n") + 1e-9).cast("int") + 1
-    prefix = per_text.select("node", "component", "n", F.explode(F.slice("sorted", F.lit(1), size)["element"]).alias("element"))
+    prefix = per_text.select("node", "component", "n", F.posexplode(F.slice("sorted", F.lit(1), size)["element"]).alias("at", "element"))
     prefix = common.pinned(prefix)
     sized = prefix.groupBy("element", "component").agg(F.count("*").alias("held"))
     main = sized.groupBy("element").agg(F.max_by("component", F.struct("held", "component")).alias("main"), F.count("*").alias("classes"))
     open_ = main.filter("classes > 1").select("element", "main")
-    asking = prefix.join(open_, "element").filter("component != main").select("element", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    answer = prefix.select("element", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    close = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    asking = prefix.join(open_, "element").filter("component != main").select("element", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), (F.col("n") - F.col("at")).alias("ra"))
+    answer = prefix.select("element", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), (F.col("n") - F.col("at")).alias("rb"))
+    # At the first element that two texts share, what follows in each bounds their overlap.
+    needed = similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9
+    close = (F.col("ca") != F.col("cb")) & (F.least("ra", "rb") >= needed)
     return _pairs(asking.join(answer, "element").filter(close))
 
 
@@ -208,8 +210,12 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     signed = common.pinned(rows.mapInArrow(_bands, schema))
     texts = signed.filter("node is not null").groupBy("node").agg(F.first("keys").alias("keys"))
     spread = texts.select("node", F.explode("keys").alias("key"))
-    leaders = spread.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("held")).filter("held > 1")
-    members = common.pinned(spread.join(leaders.select("key", "leader"), "key"))
+    sizes = spread.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
+    members = common.pinned(spread.join(sizes, "key"))
+    # A text that shares bands with most others is closest to what they are copies of: it leads its bands.
+    weight = members.groupBy("node").agg(F.sum("held").alias("weight"))
+    leaders = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("leader"))
+    members = common.pinned(members.join(leaders, "key").select("key", "node", F.col("leader.node").alias("leader")))
     involved = members.select("node").distinct()
     # Equal word lists give equal elements, so any one row of a node will do.
     elements = rows.join(involved, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_elements, "node binary, elements array<long>")
@@ -222,9 +228,13 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     members = common.pinned(placed.join(open_keys.select("key"), "key", "left_semi").select("node", "component").distinct())
     if not members.isEmpty():
         fresh = common.pinned(_rest(members, elements, similarity).join(pairs, ["a", "b"], "left_anti"))
-        more = common.pinned(verified(fresh, elements, similarity))
-        if not more.isEmpty():
-            found = common.components(links.union(more))
+        more = verified(fresh, elements, similarity)
+        for end in ("a", "b"):
+            own = _with_class(more.withColumnRenamed(end, "node"), found)
+            more = own.withColumn("node", F.col("component")).drop("component").withColumnRenamed("node", end)
+        joined = common.components(more).toDF("component", "whole")
+        placed = _with_class(texts.select("node"), found).join(joined, "component", "left")
+        return signed.drop("keys"), placed.select("node", F.coalesce("whole", "component").alias("component"))
     return signed.drop("keys"), _with_class(texts.select("node"), found)
 
 
