@@ -35,6 +35,7 @@ WINDOW = 200
 GRAM = 40
 SPAN = WINDOW - GRAM + 1  # grams in a window
 SHARD_SEGMENTS = 1000
+BLOCK = 12  # windows digested together where an anchor has more surroundings
 SHARD_BYTES = 2_000_000
 SLICE = 1_000_000  # bytes scanned at once
 BROADCAST_ROWS = 1_000_000
@@ -54,10 +55,13 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def anchors(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, anchor, digest, first, last) of concatenated texts: runs of windows first..last by their anchor."""
+    """(text, anchor, digest, first, more, lead) of concatenated texts, a row per run of windows with one anchor.
+
+    The run starts at `first` and has `more` further windows; the anchor lies `lead` bytes after its start.
+    """
     none = np.zeros(0, dtype=np.int64)
     if len(raw) < WINDOW:
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none, none
     letters = LETTERS[np.frombuffer(raw, dtype=np.uint8)]
     up, down = powers(STEP, len(raw)), powers(BACK, len(raw))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * up[:-1], dtype=np.uint64)])
@@ -83,7 +87,7 @@ def anchors(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     covered = (total[last + WINDOW] - total[first]) * down[first]
     digest = mixed(covered ^ mixed((last - first).astype(np.uint64)) ^ mixed((picked[begin] - first + 7).astype(np.uint64)))
     text = text[begin]
-    return text, gram[picked[begin]], digest, first - start[text], last - start[text]
+    return text, gram[picked[begin]], digest, first - start[text], last - first, picked[begin] - first
 
 
 def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -102,10 +106,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, keys = batch.column("raw"), batch.column("key")
         sizes = np.array([len(x) for x in raw.to_pylist()], dtype=np.int64)
         for a, b in _slices(sizes):
-            text, anchor, digest, first, last = anchors(b"".join(raw.slice(a, b - a).to_pylist()), sizes[a:b])
+            text, anchor, digest, first, more, lead = anchors(b"".join(raw.slice(a, b - a).to_pylist()), sizes[a:b])
             yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(text + a)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(first), pa.array((last - first).astype(np.int32))],
-                ["key", "anchor", "digest", "first", "more"])
+                [keys.take(pa.array(text + a)), pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(first), pa.array((more * 256 + lead).astype(np.int32))],
+                ["key", "anchor", "digest", "first", "shape"])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -169,30 +173,61 @@ def _only(rows: DataFrame, keys: DataFrame, how: str, broadcast_rows: int) -> Da
 def spans(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(key, start, end) byte ranges to remove, possibly overlapping."""
     rows = keyed(docs)
-    found = rows.select("key", "raw").filter(F.octet_length("raw") >= WINDOW).mapInArrow(_scan, "key long, anchor long, digest long, first long, more int")
+    found = rows.select("key", "raw").filter(F.octet_length("raw") >= WINDOW).mapInArrow(_scan, "key long, anchor long, digest long, first long, shape int")
     many = found.groupBy("anchor").agg(F.count("*").alias("held")).filter("held > 1").select("anchor")
     found = common.pinned(found.join(many, "anchor"))
-    kinds = found.groupBy("anchor", "digest").agg(F.count("*").alias("held"), F.min(F.struct("key", "first", "more")).alias("one"))
+    kinds = found.groupBy("anchor", "digest").agg(F.count("*").alias("held"), F.min(F.struct("key", "first", "shape")).alias("one"))
     kinds = common.pinned(kinds)
-    end = F.col("first") + F.col("more") + WINDOW
+    more, lead = lambda shape: F.floor(shape / 256).cast("int"), lambda shape: shape % 256
+    end = F.col("first") + more(F.col("shape")) + WINDOW
     whole = found.join(kinds.filter("held > 1").select("anchor", "digest"), ["anchor", "digest"]).select("key", F.col("first").alias("start"), end.alias("end"))
     varied = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     asked = kinds.join(varied, "anchor").select("anchor", "kinds", "one.*")
-    wanted = common.pinned(asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "kinds", "first", "more")).alias("runs")))
+    wanted = common.pinned(asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "kinds", "first", "shape")).alias("runs")))
     texts = _only(rows.select("key", "raw"), wanted.select("key"), "left_semi", broadcast_rows).dropDuplicates(["key"])
     cut = F.transform("runs", lambda r: F.struct(
-        r["anchor"].alias("anchor"), r["kinds"].alias("kinds"), r["first"].alias("first"), r["more"].alias("more"),
-        F.substring(F.col("raw"), (r["first"] + 1).cast("int"), r["more"] + WINDOW).alias("raw")))
+        r["anchor"].alias("anchor"), r["kinds"].alias("kinds"), r["first"].alias("first"), more(r["shape"]).alias("more"), lead(r["shape"]).alias("lead"),
+        F.substring(F.col("raw"), (r["first"] + 1).cast("int"), more(r["shape"]) + WINDOW).alias("raw")))
     segments = common.pinned(texts.join(wanted, "key").select("key", F.inline(cut)))
     small = segments.filter(F.col("kinds") <= shard_segments).select("anchor", "key", "first", "raw")
     sharded = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, "key long, start long, end long")
     large = segments.filter(F.col("kinds") > shard_segments)
-    windows = large.select("anchor", "key", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("more") + 1), lambda k: F.unhex(F.md5(F.substring(F.col("raw"), k, WINDOW))))).alias("at", "window"))
-    place = F.struct("key", (F.col("first") + F.col("at")).alias("at"))
-    again = windows.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select("window")
-    start = F.col("first") + F.col("at")
-    counted = windows.join(again, "window").select("key", start.alias("start"), (start + WINDOW).alias("end"))
-    return whole.unionByName(sharded).unionByName(counted)
+    return whole.unionByName(sharded).unionByName(_counted(large))
+
+
+def _repeated(rows: DataFrame, digest: str, start: str) -> DataFrame:
+    """Digests that occur at two places; counted with map-side sums."""
+    place = F.struct("key", start)
+    return rows.groupBy(digest).agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low != high").select(digest)
+
+
+def _counted(segments: DataFrame) -> DataFrame:
+    """(key, start, end) of repeated windows among (key, first, more, lead, raw) segments, by digests.
+
+    Windows are taken BLOCK at a time, in blocks fixed to the anchor. A block that repeats as a whole is done. All
+    windows of a block hold its core, so only blocks whose core repeats are taken apart.
+    """
+    number = lambda at: F.floor(at / BLOCK).cast("int")
+    blocks = segments.withColumn("block", F.explode(F.sequence(number(F.col("lead") - F.col("more")), number(F.col("lead")))))
+    low = F.greatest(F.lit(0), F.col("lead") - F.col("block") * BLOCK - (BLOCK - 1))
+    high = F.least(F.col("more"), F.col("lead") - F.col("block") * BLOCK)
+    core = F.col("lead") - F.col("block") * BLOCK
+    part = lambda at, size: F.substring(F.col("raw"), at + 1, size)
+    blocks = common.pinned(blocks.select(
+        "key", (F.col("first") + low).alias("start"), (F.col("first") + high).alias("last"), (F.col("first") + core).alias("place"),
+        part(low, high - low + WINDOW).alias("raw"), F.unhex(F.md5(part(low, high - low + WINDOW))).alias("whole"),
+        F.unhex(F.md5(part(core, F.lit(WINDOW - BLOCK + 1)))).alias("core")))
+    wholes = common.pinned(_repeated(blocks, "whole", "start"))
+    done = blocks.join(wholes, "whole", "left_semi").select("key", "start", (F.col("last") + WINDOW).alias("end"))
+    rest = blocks.join(wholes, "whole", "left_anti").join(_repeated(blocks, "core", "place"), "core", "left_semi")
+    rest = common.pinned(rest)
+    # One block of every kind that is done stands for it: windows of the rest may repeat there.
+    others = blocks.join(wholes, "whole", "left_semi").join(rest.select("core"), "core", "left_semi").dropDuplicates(["whole"])
+    at = F.explode(F.sequence(F.lit(0), (F.col("last") - F.col("start")).cast("int")))
+    windows = rest.unionByName(others.select(rest.columns)).select("key", "start", "raw", at.alias("at"))
+    windows = common.pinned(windows.select("key", (F.col("start") + F.col("at")).alias("start"), F.unhex(F.md5(F.substring(F.col("raw"), F.col("at") + 1, F.lit(WINDOW)))).alias("window")))
+    again = windows.join(_repeated(windows, "window", "start"), "window", "left_semi")
+    return done.unionByName(again.select("key", "start", (F.col("start") + WINDOW).alias("end")))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
