@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed, health
 
-POOL_ROWS = 1 << 18  # rows the per-tree samples are drawn from when the table is larger
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 EULER = 0.5772156649015329
 
@@ -21,15 +20,18 @@ def average_path(n) -> np.ndarray:
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
-def tree_samples(rows: DataFrame, features: list[str], key: str, trees: int, sample: int, seed: int) -> DataFrame:
-    """At most `sample` rows per tree, chosen by a hash of the row key, so partitioning does not matter."""
-    size = rows.count()
-    unit = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    pool_share = min(1.0, POOL_ROWS / max(size, 1))
-    pool = rows.filter(unit(F.col(key), F.lit(seed)) < pool_share).select(key, *health.imputed(features, fill_rest=True))
-    share = min(1.0, 2.0 * sample / max(size * pool_share, 1.0))
-    each = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = each.withColumn("draw", unit(F.col(key), F.col("tree"), F.lit(seed + 1))).filter(F.col("draw") < share)
+def tree_samples(rows: DataFrame, features: list[str], key: str, trees: int, sample: int, seed: int, size: int) -> DataFrame:
+    """At most `sample` of all `size` rows per tree, chosen by a hash of the row key, so partitioning does not matter.
+
+    A row draws once per tree and only the draws that pass are exploded, so about 2 * sample * trees rows leave
+    the scan whatever the size of the table.
+    """
+    share = min(1.0, 2.0 * sample / max(size, 1))
+    bound = min(int(-(2**63) + share * 2**64), 2**63 - 1)
+    draw = lambda tree: F.struct(tree.alias("tree"), F.xxhash64(F.col(key), tree, F.lit(seed + 1)).alias("draw"))
+    draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), draw), lambda d: d["draw"] <= F.lit(bound))
+    picked = rows.withColumn("_drawn", draws).filter(F.size("_drawn") > 0)
+    drawn = picked.select(key, *health.imputed(features, fill_rest=True), F.inline("_drawn"))
     order = Window.partitionBy("tree").orderBy("draw", key)
     return drawn.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample)
 
@@ -59,7 +61,8 @@ def _grow(x: np.ndarray, limit: int, rng) -> list[tuple]:
 def fit(rows: DataFrame, features: list[str], key: str = "observation_id", trees: int = fixed.FOREST_TREES,
         sample: int = fixed.FOREST_SAMPLE, seed: int = 42) -> DataFrame:
     """Node table of the forest: at most trees * (2 * sample - 1) rows."""
-    limit = int(np.ceil(np.log2(max(sample, 2))))
+    size = rows.count()
+    limit = int(np.ceil(np.log2(max(min(sample, size), 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values("rank")
@@ -70,18 +73,19 @@ def fit(rows: DataFrame, features: list[str], key: str = "observation_id", trees
         out.insert(0, "tree", tree)
         return out
 
-    return tree_samples(rows, features, key, trees, sample, seed).groupBy("tree").applyInPandas(build, NODE_SCHEMA)
+    return tree_samples(rows, features, key, trees, sample, seed, size).groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
 
 class Forest:
     """Node arrays of a fitted forest and the vectorised score."""
 
-    def __init__(self, nodes: pd.DataFrame, sample: int):
+    def __init__(self, nodes: pd.DataFrame):
         self.trees = [
             tuple(t[c].to_numpy() for c in ("feature", "threshold", "left", "right", "depth"))
             for _, t in nodes.sort_values(["tree", "node"]).groupby("tree")
         ]
-        self.scale = float(average_path(sample))
+        # A root's depth is the mean path among the rows its tree has seen.
+        self.scale = float(np.mean([t[4][0] for t in self.trees])) if self.trees else 1.0
 
     def depth(self, x: np.ndarray) -> np.ndarray:
         """Mean path length of every row."""
@@ -97,11 +101,10 @@ class Forest:
         return total / max(len(self.trees), 1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.round(2.0 ** (-self.depth(x) / self.scale), 9)
+        return np.round(2.0 ** (-self.depth(x) / max(self.scale, 1e-9)), 9)
 
 
-def score(rows: DataFrame, nodes: DataFrame, features: list[str], sample: int = fixed.FOREST_SAMPLE,
-          name: str = "score") -> DataFrame:
+def score(rows: DataFrame, nodes: DataFrame, features: list[str], name: str = "score") -> DataFrame:
     """Add the isolation score (higher is more unusual); features must be imputed already.
 
     The node table has a size fixed by the forest's parameters, so it travels with the tasks.
@@ -110,7 +113,7 @@ def score(rows: DataFrame, nodes: DataFrame, features: list[str], sample: int =
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest = Forest(shared.value, sample)
+        forest = Forest(shared.value)
         for batch in batches:
             yield batch.assign(**{name: forest.score(batch[features].to_numpy(float))})
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, health
 from ..operators import attribution, classifiers, density, evaluation, isolation, oneclass, ranking, reconstruction, reports, temporal, vectors
-from ..session import fresh_path
+from ..session import folder_state, fresh_path
 from . import tables
 from .features import SPLIT, _imputed_sql, split
 from .registry import query
@@ -22,11 +22,11 @@ def model_table(spark, sf):
 
 
 def remembered(spark, sf, name, build):
-    """A fitted model of this session, so that queries on the same model do not train it again."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _FITTED:
-        _FITTED[key] = build()
-    return _FITTED[key]
+    """A model fitted on the present files of the folder, so that queries on one model do not train it again."""
+    key, state = (spark.sparkContext.applicationId, sf, name), folder_state(spark, sf)
+    if key not in _FITTED or _FITTED[key][0] != state:
+        _FITTED[key] = state, build()
+    return _FITTED[key][1]
 
 
 def classifier(spark, sf, kind, label="target_failure_3slot", features=None, rows=None):

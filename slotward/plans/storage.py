@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..session import fresh_path
+from ..session import fresh_path, table_names
 from ..sources import binding, scan, sinks
 from . import tables
 from .registry import query
@@ -42,14 +42,28 @@ def _(spark, sf):
 
 @query("src02_source_inventory")
 def _(spark, sf):
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-    parts = [scan.inventory(binding.table(spark, sf, n)) for n in names]
+    parts = [scan.inventory(binding.table(spark, sf, n)) for n in table_names(spark, sf)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation",
+          "orders", "pages", "part", "region", "supplier")
+
+
+@query("src02_inventory_rows", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, (SELECT CAST(count(*) AS BIGINT) FROM {t}) AS rows" for t in TABLES))
+def _(spark, sf):
+    """Rows per table found in the folder."""
+    counts = [binding.table(spark, sf, n).agg(F.lit(n).alias("table_name"), F.count("*").alias("rows")) for n in table_names(spark, sf)]
+    out = counts[0]
+    for part in counts[1:]:
+        out = out.unionByName(part)
+    return out.select("table_name", "rows")
+
+
 def _pattern_sql(source):
     every = list(dict.fromkeys(fixed.RAW_COLUMNS["ping"] + fixed.RAW_COLUMNS["hpe"] + fixed.RAW_COLUMNS["dell"]))
     cols = [f"{RAW_SQL.get(c, c)} AS {c}" if c in fixed.RAW_COLUMNS[source] else f"CAST(NULL AS VARCHAR) AS {c}" for c in every]

@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import gold as gold_ops
 from ..operators import temporal
+from ..session import folder_state
 from ..sources import binding
 
 
 def planned_once(build):
-    """Keep the (lazy) plan per session and folder: composing it again costs more than planning it."""
+    """Keep the (lazy) plan per session and state of the folder: composing it again costs more than planning it."""
     plans: dict = {}
 
     @wraps(build)
     def table(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, id(spark), sf_dir)
-        if key not in plans:
-            plans[key] = build(spark, sf_dir)
-        return plans[key]
+        state = folder_state(spark, sf_dir)
+        if key not in plans or plans[key][0] != state:
+            plans[key] = state, build(spark, sf_dir)
+        return plans[key][1]
 
     return table
 

@@ -37,3 +37,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/slotward/{name}-{uuid.uuid4().hex}"
+
+
+def folder_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files below a folder, from the file system Spark itself uses."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files, found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def table_names(spark: SparkSession, path: str) -> list[str]:
+    """Tables of a folder: its Parquet files and folders, by name without the ending."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    entries = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    names = [entry.getPath().getName() for entry in entries]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))

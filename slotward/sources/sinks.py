@@ -8,13 +8,12 @@ from ..functions.numbers import tally
 def publish_parquet(df: DataFrame, path: str, day: Column | None = None) -> None:
     """Parquet, laid out by day when one is given so that time filters prune folders.
 
-    Rows of one day are spread over several tasks by a hash of the row, so a busy day is no single writer.
+    Days are rebalanced: small ones share a task and a busy one is split by the size of its data.
     """
     if day is None:
         df.write.mode("overwrite").parquet(path)
         return
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(8))  # fixed value: writers per day
-    df.withColumn("slot_date", day).repartition("slot_date", spread).write.mode("overwrite").partitionBy("slot_date").parquet(path)
+    df.withColumn("slot_date", day).hint("rebalance", F.col("slot_date")).write.mode("overwrite").partitionBy("slot_date").parquet(path)
 
 
 def publish_csv(df: DataFrame, path: str) -> None:

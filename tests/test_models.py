@@ -34,9 +34,9 @@ def test_forest_does_not_depend_on_partitioning(master, nodes):
 
 
 def test_forest_scores_are_bounded_and_fall_with_depth(weighted, nodes):
-    scored = isolation.score(weighted, nodes, FEATURES, 64).toPandas()
+    scored = isolation.score(weighted, nodes, FEATURES).toPandas()
     assert len(scored) == weighted.count() and scored.score.between(0, 1, inclusive="neither").all()
-    depth = isolation.Forest(nodes.toPandas(), 64).depth(scored[FEATURES].to_numpy(float))
+    depth = isolation.Forest(nodes.toPandas()).depth(scored[FEATURES].to_numpy(float))
     order = np.argsort(depth)
     assert (np.diff(scored.score.to_numpy()[order]) <= 1e-9).all()
 
