@@ -57,3 +57,8 @@ def table_names(spark: SparkSession, path: str) -> list[str]:
     entries = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
     names = [entry.getPath().getName() for entry in entries]
     return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

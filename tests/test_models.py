@@ -159,3 +159,12 @@ def test_perfect_and_useless_scores(spark):
     assert (good.pr_auc, good.roc_auc) == (1.0, 1.0) and (flat.pr_auc, flat.roc_auc) == (0.7, 0.5)
     best = evaluation.best_f1(evaluation.score_totals(df, "y", "good")).first()
     assert best.optimal_threshold == 0.8 and round(best.optimal_f1_pct, 3) == 100.0
+
+
+def test_every_part_of_the_table_is_sampled(spark):
+    """No share of the keys is left out of the forest's samples, however large the table."""
+    rows = spark.range(400_000).select(F.col("id").cast("string").alias("observation_id"), *[(F.col("id") % 7).cast("double").alias(c) for c in FEATURES])
+    drawn = isolation.tree_samples(rows, FEATURES, "observation_id", 100, 256, 42, 400_000)
+    per_part = {r["part"]: r["n"] for r in drawn.groupBy(F.floor(F.col("observation_id").cast("long") / 40_000).alias("part")).agg(F.count("*").alias("n")).collect()}
+    assert sum(per_part.values()) == 100 * 256 and len(per_part) == 10
+    assert all(0.8 * 2560 < n < 1.2 * 2560 for n in per_part.values())

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotward.functions import fixed
-from slotward.operators import audits
+from slotward.operators import audits, gold
 from slotward.plans import audits as audit_plans, publish, tables
 from slotward.session import fresh_path
 from slotward.sources import binding, sinks
@@ -46,12 +46,16 @@ def test_streamed_gold_has_the_batch_rows(spark, sf):
     assert streamed.select(*batch.columns).exceptAll(batch).count() == 0
 
 
-def test_first_arrival_of_a_key_wins_in_the_stream(spark, sf):
+def test_earliest_event_wins_in_any_order_of_deliveries(spark, sf):
     source, out = fresh_path(spark, "arrivals"), fresh_path(spark, "streamed")
     raw = binding.ping_raw(spark, sf).select(*fixed.CANONICAL_COLUMNS["ping"], "monitoring_slot")
-    raw.write.parquet(source)
-    stream = spark.readStream.schema(raw.schema).parquet(source)
-    empty = [f(spark, sf).limit(0) for f in (binding.hpe, binding.dell)]
-    arrivals.append_gold(stream, *empty, out, f"{out}-state").awaitTermination()
-    rows = spark.read.parquet(out)
-    assert rows.count() == raw.select(*fixed.KEY).distinct().count() == rows.select(F.countDistinct("observation_id")).first()[0]
+    hpe, dell = binding.hpe(spark, sf), binding.dell(spark, sf)
+    # Later events are delivered first, and early ones arrive in a second run.
+    middle = raw.agg(F.expr("percentile_approx(event_time, 0.5)")).first()[0]
+    for part in (raw.filter(F.col("event_time") >= middle), raw.filter(F.col("event_time") < middle), raw.limit(50)):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(raw.schema).parquet(source)
+        arrivals.append_gold(stream, hpe, dell, out, f"{out}-state").awaitTermination()
+    batch = gold.build_gold(arrivals.earliest(raw, "event_time"), hpe, dell)
+    streamed = spark.read.parquet(out).select(*batch.columns)
+    assert streamed.count() == batch.count() and streamed.exceptAll(batch).count() == 0
