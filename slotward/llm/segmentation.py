@@ -33,7 +33,7 @@ SHARPNESS = 1.0
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 SLOTS = 21  # bits of a slot in the piece tables
-EDGES = 3_000_000  # edges kept per worker before the tables start anew
+EDGES = 1_500_000  # edges kept per worker before the tables start anew
 SLICE = 60_000  # units handled at once
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
