@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -407,7 +408,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     """`rows` of `segmentations` with ids decoded to a column text."""
 
     @F.pandas_udf("string")
-    def text(batches: Iterator) -> Iterator:
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = Vocabulary(path)
         for ids in batches:
             yield ids.map(lambda x: vocabulary.decode(list(x)))
