@@ -9,8 +9,8 @@ from slotward.llm.queries import QUERIES
 
 def test_stages_apply_their_decisions(spark, frame, tmp_path):
     item = " ".join(w.rstrip("0123456789") + "q" for w in prose(5, 30))
-    rows = [(i, " ".join(prose(i, 80))) for i in range(40)]
-    rows += [(100 + i, " ".join(prose(300 + i, 40) + ["scumbag"] * 4)) for i in range(40)]
+    rows = [(i, " ".join(prose(i, 80))) for i in range(80)]
+    rows += [(100 + i, " ".join(prose(300 + i, 40) + ["scumbag"] * 4)) for i in range(12)]
     rows += [(200, rows[3][1]), (201, rows[4][1] + " tail"), (202, "start " + item + " end"), (203, "write to me@site.org please " + " ".join(prose(9000, 20)))]
     folder = str(tmp_path)
     frame(rows).write.parquet(f"{folder}/documents.parquet")
@@ -25,7 +25,7 @@ def test_stages_apply_their_decisions(spark, frame, tmp_path):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     ids = {name: {r["doc_id"] for r in found} for name, found in seen.items()}
-    assert {i for i, _ in rows if i < 100} <= ids["toxicity"] and not {100 + i for i in range(40)} & ids["toxicity"]
+    assert {i for i, _ in rows if i < 100} <= ids["toxicity"] and not {100 + i for i in range(12)} & ids["toxicity"]
     assert ids["toxicity"] - ids["near_dedup"] == {200, 201}
     assert ids["near_dedup"] - ids["decontamination"] == {202}
     texts = {r["doc_id"]: r["text"] for r in seen["pii"]}
