@@ -208,7 +208,8 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     rows = coded(docs)
     schema = "doc_id long, digest long, node binary, keys array<long>"
     signed = common.pinned(rows.mapInArrow(_bands, schema))
-    texts = signed.filter("node is not null").groupBy("node").agg(F.first("keys").alias("keys"))
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    texts = signed.filter("node is not null").groupBy("node").agg(F.first("keys").alias("keys"), F.min(least).alias("row"))
     spread = texts.select("node", F.explode("keys").alias("key"))
     sizes = spread.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     members = common.pinned(spread.join(sizes, "key"))
@@ -216,9 +217,12 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     weight = members.groupBy("node").agg(F.sum("held").alias("weight"))
     leaders = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("leader"))
     members = common.pinned(members.join(leaders, "key").select("key", "node", F.col("leader.node").alias("leader")))
-    involved = members.select("node").distinct()
-    # Equal word lists give equal elements, so any one row of a node will do.
-    elements = rows.join(involved, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_elements, "node binary, elements array<long>")
+    involved = members.select("node").distinct().join(texts.select("node", "row"), "node")
+    involved = involved.select(F.col("node").alias("_node"), F.col("row.doc_id").alias("_doc"), F.col("row.digest").alias("_digest"))
+    # Equal word lists give equal elements: one row of a node is looked up, so copies spread by their ids.
+    same = (rows["node"] == involved["_node"]) & (rows["digest"] == involved["_digest"]) & rows["doc_id"].eqNullSafe(involved["_doc"])
+    one = rows.join(involved, same, "left_semi").dropDuplicates(["node"])
+    elements = one.mapInArrow(_elements, "node binary, elements array<long>")
     elements = common.pinned(elements)
     pairs = common.pinned(_pairs(members.select(F.col("node").alias("a"), F.col("leader").alias("b"))))
     links = common.pinned(verified(pairs, elements, similarity))
