@@ -4,11 +4,11 @@ Benchmark items and documents are brought to templates: numbers, units after a n
 inside a sentence become typed slots, the rest lower-case words. Windows of WINDOW template tokens are joined
 by hash. Hits of one item on one diagonal (document position minus item position) belong together; their slot
 values must map one to one, so a question asked again with other numbers or names is found, and text that only
-shares the skeleton with clashing values is not. A document is contaminated by an item if so many consecutive
-windows agree that at least HELD tokens do (all windows of a shorter item).
+shares the skeleton with clashing values is not. A document is contaminated by an item if as many windows of one
+diagonal agree as HELD tokens have (all windows of a shorter item).
 
-Since an item needs several consecutive windows, a first pass looks only at every so-many-th window of a
-document; the documents it finds are then searched window by window. The item windows and the keys of those
+A first pass looks at every window of a document, without slots: the agreeing windows of an edited item need not
+be consecutive. The documents it finds are then searched with slots. The item windows and the keys of those
 documents are broadcast if there are at most `broadcast_rows` of them (counted first) and joined by shuffle
 beyond that. Document windows are never grouped unless they hit.
 
@@ -56,8 +56,8 @@ def _template(token: Column) -> Column:
     return F.when(F.startswith(token, F.lit(MARK)), F.substring(token, 1, 2)).otherwise(token)
 
 
-def _windows(size: int, stride: int = 1) -> Column:
-    """(at, hash, slots) of every `stride`-th window of `size` tokens of `tokens`, whose hashes are in `codes`."""
+def _windows(size: int) -> Column:
+    """(at, hash, slots) of every window of `size` tokens of `tokens`, whose hashes are in `codes`."""
     last = F.size("tokens") - size
 
     def window(at: Column) -> Column:
@@ -66,7 +66,7 @@ def _windows(size: int, stride: int = 1) -> Column:
         return F.struct(at.alias("at"), code.alias("window"), F.when(F.col("_slots"), slots).alias("slots"))
 
     empty = F.array().cast("array<struct<at:int,window:bigint,slots:array<string>>>")
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), window)).otherwise(empty)
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window)).otherwise(empty)
 
 
 def templates(df: DataFrame, text: str = "text") -> DataFrame:
@@ -99,12 +99,9 @@ def row_key(df: DataFrame) -> DataFrame:
     return df.withColumn("_digest", F.xxhash64("text"))
 
 
-def _candidates(rows: DataFrame, wanted: DataFrame, sizes: list[int], stride: int) -> DataFrame:
-    """Keys of the rows of which one window in `stride` is an item's.
-
-    An item needs at least `stride` consecutive windows, so every contaminated row is among them.
-    """
-    spread = templates(rows).select("doc_id", "_digest", F.inline_outer(F.concat(*[_windows(n, stride) for n in sizes])))
+def _candidates(rows: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """Keys of the rows of which any window is an item's."""
+    spread = templates(rows).select("doc_id", "_digest", F.inline_outer(F.concat(*[_windows(n) for n in sizes])))
     return spread.join(wanted.select("window"), "window", "left_semi").select("doc_id", "_digest").distinct()
 
 
@@ -112,10 +109,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     """(doc_id, _digest, item_id, windows) of every document row and item whose windows agree."""
     items = templates(benchmark.select("item_id", "text")).select("item_id", "tokens", "codes", "_slots")
     wanted, sizes = common.pinned(item_windows(items)), _sizes(items)
-    stride = wanted.agg(F.min("needed")).first()[0] or 1
     wanted = common.bounded(wanted, broadcast_rows)
     rows = row_key(docs.select("doc_id", "text"))
-    few = common.pinned(_candidates(rows, wanted, sizes, stride)).toDF("_doc", "_found")
+    few = common.pinned(_candidates(rows, wanted, sizes)).toDF("_doc", "_found")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_digest") == F.col("_found"))
     rows = templates(rows.join(common.bounded(few, broadcast_rows), same, "left_semi"))
     all_windows = F.concat(*[_windows(size) for size in sizes])

@@ -224,6 +224,25 @@ def test_decontamination_finds_items_and_new_parameters(spark, frame):
     assert decontamination.clean(frame(rows), nothing).count() == len(rows) + len(ODD)
 
 
+def _found(frame, spark, items, texts):
+    """Items found in every text, by its place in the list."""
+    bench = spark.createDataFrame(list(enumerate(items, 1)), BENCH)
+    found = decontamination.contaminated(frame(list(enumerate(texts)), odd=False), bench).collect()
+    return [r["item_ids"] for r in sorted(found, key=lambda r: r["doc_id"])]
+
+
+def _letters(seed, n):
+    """Words without digits, all different."""
+    return [f"{chr(97 + seed)}{w.rstrip('0123456789')}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k, w in enumerate(prose(seed, n))]
+
+
+def test_decontamination_finds_edited_items_at_every_offset(spark, frame):
+    item = _letters(1, 21)
+    edited = [*item[:10], "else", *item[11:]]
+    texts = [" ".join(_letters(2, k) + edited + _letters(3, 20)) for k in range(18)]
+    assert _found(frame, spark, [" ".join(item)], texts) == [[1]] * 18
+
+
 def test_decontamination_equals_window_search(spark, sf):
     """Whole items inside documents, found by plain word windows."""
     folder = sf.replace("0.001", "0.01")
