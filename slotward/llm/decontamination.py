@@ -2,11 +2,15 @@
 
 Benchmark items and documents are brought to templates: numbers, units after a number and capitalised names
 inside a sentence become typed slots, the rest lower-case words. Windows of WINDOW template tokens are joined
-by hash. Hits of one item on one diagonal (document position minus item position) belong together; their slot
-values must map one to one, so a question asked again with other numbers or names is found, and text that only
-shares the skeleton with clashing values is not. A document is contaminated by an item if as many windows of one
+by hash. Hits of one item on one diagonal (document position minus item position) belong together; slot values
+must map one to one, so a question asked again with other numbers or names is found, and text that only shares
+the skeleton with clashing values is not. A document is contaminated by an item if as many windows of one
 diagonal agree as HELD tokens have (all windows of a shorter item).
 
+A clash breaks only windows around it. A value that differs from the item's and clashes on the diagonal is doubtful;
+an equal value never is. What counts are the windows without doubtful values, or else so many consecutive windows
+whose own values map one to one and hold at most one doubtful value.
+
 A first pass looks at every window of a document, without slots: the agreeing windows of an edited item need not
 be consecutive. The documents it finds are then searched with slots. The item windows and the keys of those
 documents are broadcast if there are at most `broadcast_rows` of them (counted first) and joined by shuffle
@@ -105,6 +109,30 @@ def _candidates(rows: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFra
     return spread.join(wanted.select("window"), "window", "left_semi").select("doc_id", "_digest").distinct()
 
 
+def _one_to_one(pairs: Column) -> Column:
+    """Whether distinct pairs map values one to one."""
+    return (F.size(F.array_distinct(pairs["here"])) == F.size(pairs)) & (F.size(F.array_distinct(pairs["there"])) == F.size(pairs))
+
+
+def _doubtful(pairs: str) -> Column:
+    """The pairs of different values that clash with another pair."""
+    def clashes(p: Column) -> Column:
+        return F.exists(pairs, lambda q: (p["there"] == q["there"]) != (p["here"] == q["here"]))
+
+    return F.filter(pairs, lambda p: (p["there"] != p["here"]) & clashes(p))
+
+
+def _run_agrees() -> Column:
+    """Whether `needed` consecutive places are one to one with at most one doubtful pair."""
+    def agrees(run: Column) -> Column:
+        own = F.array_distinct(F.flatten(run["pairs"]))
+        whole = F.element_at(run, -1)["at"] - F.element_at(run, 1)["at"] == F.col("needed") - 1
+        return whole & _one_to_one(own) & (F.size(F.array_intersect(own, F.col("doubtful"))) <= 1)
+
+    starts = F.sequence(F.lit(1), F.size("places") - F.col("needed") + 1)
+    return F.exists(starts, lambda k: agrees(F.slice("places", k, F.col("needed"))))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, _digest, item_id, windows) of every document row and item whose windows agree."""
     items = templates(benchmark.select("item_id", "text")).select("item_id", "tokens", "codes", "_slots")
@@ -119,12 +147,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     # Repeated rows would count twice: a window counts once per place.
     met = spread.join(wanted, "window").withColumn("diagonal", F.col("at") - F.col("item_at"))
     pairs = F.transform(F.coalesce("slots", F.array()), lambda v, k: F.struct(v.alias("there"), F.get("item_slots", k).alias("here")))
-    # Two lists of slots of one window have equal types by the template, so they zip.
-    per = met.groupBy("doc_id", "_digest", "item_id", "item_tokens", "needed", "diagonal").agg(
-        F.count_distinct("at").alias("windows"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    one_to_one = (F.size(F.array_distinct("pairs.here")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.there")) == F.size("pairs"))
-    agreed = per.filter((F.col("windows") >= F.col("needed")) & one_to_one)
-    return agreed.groupBy("doc_id", "_digest", "item_id").agg(F.max("windows").alias("windows"))
+    # Two lists of slots of one window have equal types by the template, so they zip. Places of repeated rows fall together.
+    place = F.struct("at", pairs.alias("pairs"))
+    per = met.groupBy("doc_id", "_digest", "item_id", "item_tokens", "needed", "diagonal").agg(F.sort_array(F.collect_set(place)).alias("places"))
+    per = per.filter(F.size("places") >= F.col("needed")).withColumn("pairs", F.array_distinct(F.flatten("places.pairs")))
+    per = per.withColumn("doubtful", F.when(_one_to_one(F.col("pairs")), F.array_except("pairs", "pairs")).otherwise(_doubtful("pairs")))
+    clear = F.size(F.filter("places", lambda p: ~F.arrays_overlap(p["pairs"], F.col("doubtful"))))
+    per = per.withColumn("windows", F.when(F.size("doubtful") == 0, F.size("places")).otherwise(clear))
+    per = per.withColumn("windows", F.when((F.col("windows") < F.col("needed")) & _run_agrees(), F.col("needed")).otherwise(F.col("windows")))
+    agreed = per.filter(F.col("windows") >= F.col("needed"))
+    return agreed.groupBy("doc_id", "_digest", "item_id").agg(F.max(F.col("windows").cast("long")).alias("windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

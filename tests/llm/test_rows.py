@@ -243,6 +243,18 @@ def test_decontamination_finds_edited_items_at_every_offset(spark, frame):
     assert _found(frame, spark, [" ".join(item)], texts) == [[1]] * 18
 
 
+def test_decontamination_clash_breaks_only_its_run(spark, frame):
+    w = _letters(4, 60)
+    same = " ".join([*w[:10], "5", *w[10:40], "5", *w[40:]])
+    changed = " ".join([*w[:10], "5", *w[10:40], "6", *w[40:]])
+    near = [*w[:8], "3", *w[8:13], "4", *w[13:20]]
+    merged = " ".join(["7" if x in "34" else x for x in near])
+    many = " ".join(x for k in range(0, 60, 3) for x in [*w[k : k + 3], str(k)])
+    other = " ".join(x for k in range(0, 60, 3) for x in [*w[k : k + 3], str(k // 30)])
+    items, texts = [same, " ".join(near), many], [f"so {changed} then", f"so {merged} then", f"so {other} then", f"so {same} then"]
+    assert _found(frame, spark, items, texts) == [[1], [2], [], [1]]
+
+
 def test_decontamination_equals_window_search(spark, sf):
     """Whole items inside documents, found by plain word windows."""
     folder = sf.replace("0.001", "0.01")
