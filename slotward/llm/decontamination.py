@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows, DataFrame functions only.
 
 Benchmark items and documents are brought to templates: numbers, units after a number and capitalised names
-inside a sentence become typed slots, the rest lower-case words. Windows of WINDOW template tokens are joined
+inside a sentence become typed slots, the rest lower-case words. Runs of white space count as one blank. What an
+item's first token becomes depends on what stands before it, so items are searched for as they start a text and as
+they follow a word or number. Windows of WINDOW template tokens are joined
 by hash. Hits of one item on one diagonal (document position minus item position) belong together; slot values
 must map one to one, so a question asked again with other numbers or names is found, and text that only shares
 the skeleton with clashing values is not. A document is contaminated by an item if as many windows of one
@@ -47,11 +49,13 @@ MARK = "\u0001"
 def tokens(text: Column) -> Column:
     """Template tokens; a slot is MARK, its type (p name, n number, u unit) and its value."""
     s = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, " ")).otherwise(F.coalesce(text, F.lit("")))
+    s = F.regexp_replace(s, r"[\s\p{Z}&&[^ ]][\s\p{Z}]*+| [\s\p{Z}]++", " ")
     s = F.regexp_replace(s, r"\p{Lu}(?<=[\p{Ll}0-9,;)] .)\p{Ll}++", f" {MARK}p$0 ")
+    # Without digits there are no numbers and units, and the second split equals the first.
     plain = F.split(s, rf"[^\p{{L}}\p{{N}}{MARK}]+")
     s = F.regexp_replace(s, r"[0-9]++(?:[.,:/][0-9]++)*+", f" {MARK}n$0 ")
     s = F.regexp_replace(s, rf"(?i)(?<={MARK}n[0-9.,:/]{{1,24}}) {{1,2}}({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}u$1 ")
-    slotted = F.split(s, rf"(?:[^\p{{L}}\p{{N}}{MARK}.,:/%°]|(?<![0-9])[.,:/]|[.,:/](?![0-9]))+")
+    slotted = F.split(s, rf"(?:[^\p{{L}}\p{{N}}{MARK}.,:/%°]|(?<!{MARK}u)[%°]|(?<![0-9])[.,:/]|[.,:/](?![0-9]))+")
     pieces = F.when(F.col("_digits"), slotted).otherwise(plain)
     return common.lowered(F.filter(pieces, lambda t: t != ""))
 
@@ -76,9 +80,21 @@ def _windows(size: int) -> Column:
 def templates(df: DataFrame, text: str = "text") -> DataFrame:
     """Add tokens, their hashes and whether there are slots."""
     found = df.withColumn("_digits", F.coalesce(F.col(text).rlike("[0-9]"), F.lit(False)))
-    found = found.withColumn("tokens", tokens(F.col(text))).drop("_digits")
+    return _coded(found.withColumn("tokens", tokens(F.col(text))).drop("_digits"))
+
+
+def _coded(df: DataFrame) -> DataFrame:
     slot = F.exists("tokens", lambda t: F.startswith(t, F.lit(MARK)))
-    return found.withColumns({"codes": F.transform("tokens", lambda t: F.xxhash64(_template(t))), "_slots": slot})
+    return df.withColumns({"codes": F.transform("tokens", lambda t: F.xxhash64(_template(t))), "_slots": slot})
+
+
+def item_templates(benchmark: DataFrame) -> DataFrame:
+    """(item_id, tokens, codes, _slots) of the distinct items, as they start a text and as they follow a number."""
+    after = benchmark.select("item_id", "text", F.concat(F.lit("1 "), F.coalesce("text", F.lit(""))).alias("_after"))
+    after = templates(after, "_after").select("item_id", "text", F.slice("tokens", 2, F.size("tokens")).alias("_after"))
+    both = templates(after).groupBy("tokens").agg(F.min("item_id").alias("item_id"), F.collect_set("_after").alias("_after"))
+    ways = F.array_distinct(F.concat(F.array("tokens"), "_after"))
+    return _coded(both.select("item_id", F.explode(ways).alias("tokens")))
 
 
 def _sizes(items: DataFrame) -> list[int]:
@@ -88,15 +104,15 @@ def _sizes(items: DataFrame) -> list[int]:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, parts, item_at, window, item_slots) of the distinct items; parts: windows that must agree."""
-    grouped = items.groupBy("tokens", "codes", "_slots").agg(F.min("item_id").alias("item_id"))
+    """(item_id, item_tokens, needed, item_at, window, item_slots) of the items; needed: windows that must agree."""
     n = F.size("tokens")
     parts = []
     for size in range(LEAST, WINDOW + 1):
         fits = (n >= size) if size == WINDOW else (n == size)
         needed = F.least(F.lit(HELD), n) - size + 1
-        parts.append(grouped.filter(fits).select("item_id", n.alias("item_tokens"), needed.alias("needed"), F.inline_outer(_windows(size))))
-    return reduce(DataFrame.union, parts).select("item_id", "item_tokens", "needed", F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots"))
+        parts.append(items.filter(fits).select("item_id", n.alias("item_tokens"), needed.alias("needed"), F.inline_outer(_windows(size))))
+    slots = F.coalesce("slots", F.array().cast("array<string>")).alias("item_slots")
+    return reduce(DataFrame.union, parts).select("item_id", "item_tokens", "needed", F.col("at").alias("item_at"), "window", slots).distinct()
 
 
 def row_key(df: DataFrame) -> DataFrame:
@@ -135,7 +151,7 @@ def _run_agrees() -> Column:
 
 def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, _digest, item_id, windows) of every document row and item whose windows agree."""
-    items = templates(benchmark.select("item_id", "text")).select("item_id", "tokens", "codes", "_slots")
+    items = item_templates(benchmark)
     wanted, sizes = common.pinned(item_windows(items)), _sizes(items)
     wanted = common.bounded(wanted, broadcast_rows)
     rows = row_key(docs.select("doc_id", "text"))

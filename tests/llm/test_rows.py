@@ -255,6 +255,18 @@ def test_decontamination_clash_breaks_only_its_run(spark, frame):
     assert _found(frame, spark, items, texts) == [[1], [2], [], [1]]
 
 
+def test_decontamination_finds_items_in_other_surroundings(spark, frame):
+    first = "What is the capital of the river country"
+    names = "we asked Alice and then Bob again"
+    mark = "a share of % and ten more"
+    unit = "m of rope are left today"
+    items, texts = [first, names, mark, unit], []
+    for item in items:
+        texts += [item, f"some words {item} end", f"there were 5 {item}; end", f"Ends. {item}"]
+    wrapped = [names.replace(" ", blank) for blank in ("\n", "  ", "\r\n\t", "\u00a0")]
+    assert _found(frame, spark, items, texts + wrapped) == [[i] for i in (1, 2, 3, 4) for _ in range(4)] + [[2]] * 4
+
+
 def test_decontamination_equals_window_search(spark, sf):
     """Whole items inside documents, found by plain word windows."""
     folder = sf.replace("0.001", "0.01")
