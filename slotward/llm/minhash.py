@@ -13,7 +13,8 @@ leaders, and what is left after that is compared through the rarest shingles of
 threshold must share one of those, so no link is lost, and only members outside a shingle's main class start
 comparisons. No group is expanded into all pairs and no key needs one task.
 
-Defined cases: a null text is empty; a text without words is in a class of its own row; a text of one to four
+Defined cases: a null text is in a class of its own row; texts without words (symbols, blanks, the empty text)
+share a class with exact copies only; a text of one to four
 words is one shingle, so it meets equal word lists only; equal word lists (also under equal or null doc_id)
 share a class. A class is named by its least doc_id; null ids count as the largest, and a class of null ids
 only is named null. `docs` may carry any other columns: only doc_id and text are read.
@@ -134,7 +135,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(ROWS):
                 keys = mixed(keys * GOLD + marks.reshape(-1, BANDS, ROWS)[:, :, k])
             keys = mixed(keys + np.arange(BANDS, dtype=np.uint64))
-            keys = _lists(keys.ravel(), np.full(end - begin, BANDS))
+            # Texts without words have no bands: their registers are all empty.
+            keys = _lists(keys[part > 0].ravel(), np.where(part > 0, BANDS, 0))
             names = ["doc_id", "digest", "node"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n).slice(begin, end - begin) for n in names), keys], [*names, "keys"])
 
@@ -152,10 +154,12 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def coded(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, node, codes): digests of the text and of its word list (null without words), word codes."""
+    """(doc_id, digest, node, codes): digests of the text and of its word list (of the text without words), word codes."""
     doc_id, digest = F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest")
-    found = docs.select(doc_id, digest, common.words(F.col("text")).alias("words"))
-    node = F.when(F.size("words") > 0, F.unhex(F.md5(F.array_join("words", " "))))
+    found = docs.select(doc_id, digest, "text", common.words(F.col("text")).alias("words"))
+    # A byte more keeps texts without words apart from word lists; null texts have no node.
+    whole = F.unhex(F.concat(F.md5("text"), F.lit("00")))
+    node = F.when(F.size("words") > 0, F.unhex(F.md5(F.array_join("words", " ")))).otherwise(whole)
     return found.select("doc_id", "digest", node.alias("node"), F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
 
 

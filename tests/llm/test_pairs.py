@@ -76,6 +76,15 @@ def test_near_duplicates_equal_brute_force(frame):
         assert all(c <= i for c in classes)
 
 
+def test_copies_without_words_share_a_class(frame):
+    texts = ["\U0001f600 \U0001f600", "\U0001f600 \U0001f600", "\U0001f600", "!?", "!?", "!?", "", "", " \n", " \n", None, None, "one two", "one, two"]
+    found = sorted(minhash.classes(frame(list(enumerate(texts)), odd=False)).collect())
+    assert [r["class_id"] for r in found] == [0, 0, 2, 3, 3, 3, 6, 6, 8, 8, 10, 11, 12, 12]
+    assert [r["class_size"] for r in found] == [2, 2, 1, 3, 3, 3, 2, 2, 2, 2, 1, 1, 2, 2]
+    kept = minhash.deduplicated(frame(list(enumerate(texts)), odd=False)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2, 3, 6, 8, 10, 11, 12]
+
+
 def test_deduplicated_keeps_one_row_of_every_class(frame):
     rows = near_copies()
     kept = [(r["doc_id"], r["text"]) for r in minhash.deduplicated(frame(rows)).collect()]
