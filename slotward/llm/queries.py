@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, common, decontamination, line_dedup, minhash, pii, quality, segmentation, substring_dedup, token_counts, toxicity
+from . import (
+    byte_bpe, chat, common, decontamination, line_dedup, minhash, pii, quality, ranked_search, segmentation, substring_dedup, token_counts, toxicity,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +141,22 @@ ORACLES |= {"op5_chat_rotation": OP5_SQL, "op9_line_dedup": OP9_SQL}
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what remains after the removal of repeated 200-byte strings."""
     return substring_dedup.report(common.table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector with its whitened components."""
+    return whitening.components(common.table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with digests of its ids and of what they decode to."""
+    return byte_bpe.digests(common.table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of every benchmark item."""
+    postings = ranked_search.index(common.table(spark, sf_dir, "documents"))
+    return ranked_search.search(postings, common.table(spark, sf_dir, "benchmark"))
