@@ -77,30 +77,40 @@ def op10_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH lines AS (
   SELECT doc_id, line, v,
-         sum(length(v) + 1) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS fin
+         sum(length(v) + 1) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS fin,
+         lower(trim(regexp_replace(v, '[ \t\r\x0b\f]+', ' ', 'g'), ' ')) AS unit
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS v,
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents)
+), begun AS (
+  SELECT *, unit <> '' AND coalesce(lag(unit) OVER (PARTITION BY doc_id ORDER BY line), '') = '' AS begins FROM lines
+), placed AS (
+  SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY line) AS para FROM begun
+), paragraphs AS (
+  SELECT doc_id, para, min(line) AS line, string_agg(unit, ' ' ORDER BY line) AS unit
+  FROM placed WHERE unit <> '' GROUP BY doc_id, para HAVING count(*) > 1
 ), units AS (
-  SELECT doc_id, line, fin - length(v) AS start, fin,
-         lower(trim(regexp_replace(v, '[ \t\r\x0b\f]+', ' ', 'g'), ' ')) AS unit
-  FROM lines
-), kept AS (
-  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, line) AS nth
-  FROM units WHERE len(string_split(unit, ' ')) >= 8
-), removed AS (
-  SELECT doc_id, sum(fin - start)::BIGINT AS n_removed, count(*) AS n_spans,
-         string_agg(start::BIGINT || ':' || fin::BIGINT, ',' ORDER BY line) AS spans
-  FROM kept WHERE nth > 1 GROUP BY doc_id
+  SELECT doc_id, line, NULL AS para, unit FROM lines WHERE unit <> ''
+  UNION ALL SELECT doc_id, line, para, unit FROM paragraphs
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, line) AS nth FROM units
+), gone AS (
+  SELECT doc_id, line FROM ranked WHERE nth > 1 AND para IS NULL
+  UNION SELECT p.doc_id, p.line FROM placed p JOIN ranked r ON p.doc_id = r.doc_id AND p.para = r.para AND nth > 1 WHERE p.unit <> ''
+), marked AS (
+  SELECT p.*, g.line IS NOT NULL AS goes FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.line = g.line
+), left_over AS (
+  SELECT doc_id, coalesce(string_agg(v, chr(10) ORDER BY line) FILTER (WHERE NOT goes), '') AS kept,
+         coalesce(sum(length(v)) FILTER (WHERE goes), 0)::BIGINT AS n_removed, count(*) FILTER (WHERE goes) AS n_spans,
+         coalesce(string_agg((fin - length(v))::BIGINT || ':' || fin::BIGINT, ',' ORDER BY line) FILTER (WHERE goes), '') AS spans
+  FROM marked GROUP BY doc_id
 )
-SELECT d.doc_id, length(coalesce(d.text, ''))::BIGINT AS n_chars, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(spans, '') AS spans
-FROM documents d LEFT JOIN removed USING (doc_id)
+SELECT doc_id, length(kept)::BIGINT AS n_chars, n_removed, n_spans, spans, sha256(kept) AS kept_sha256 FROM left_over
 """
 
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the spans of lines that occur earlier."""
+    """Every document with the spans of lines and paragraphs that occur earlier, and what is left."""
     return line_dedup.report(common.table(spark, sf_dir, "documents"))
 
 

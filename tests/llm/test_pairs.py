@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from samples import ODD, prose
 
 from slotward.llm import common, line_dedup, minhash, substring_dedup, suffix
@@ -178,22 +179,79 @@ def test_substring_removal_equals_brute_force(frame, monkeypatch, segments):
     assert hashlib.sha256(kept[1].encode()).hexdigest() == brute_removed([t for _, t in [*rows, *ODD]])[1][3]
 
 
-def test_line_removal_equals_brute_force(frame):
-    shared = "this line of eight or more words is Shared  by all"
-    rows = [(i, f"own line number {i} with some more words than eight {i}\n{shared if i % 2 else shared.lower()}\nshort line\n") for i in range(9)]
-    rows += [(20, f"{shared}\n{shared}"), (21, "short line")]
-    docs = frame(rows)
-    got = {r["doc_id"]: r for r in line_dedup.report(docs).collect() if r["doc_id"] is not None and r["doc_id"] < 900}
-    for i, text in rows:
-        at, spans = 0, []
-        for k, line in enumerate(text.split("\n")):
-            if "hared" in line and (i, k) != (0, 1):
+def brute_lines(rows):
+    """Lines that go from each row, by a dictionary of all units in order of rank."""
+    plain = lambda v: " ".join(re.split(r"[ \t\r\x0b\f]+", v)).strip(" ").lower()
+    occurrences = []
+    for n, (i, text) in enumerate(rows):
+        run = []
+        for k, line in enumerate([*(text or "").split("\n"), ""]):
+            if plain(line):
+                occurrences.append((i is None, i or 0, k, plain(line), n, [k]))
+                run.append((k, plain(line)))
+                continue
+            if len(run) > 1:
+                occurrences.append((i is None, i or 0, run[0][0], " ".join(v for _, v in run), n, [k for k, _ in run]))
+            run = []
+    seen, gone = {}, [set() for _ in rows]
+    for *_, unit, n, lines in sorted(occurrences):
+        if seen.setdefault(unit, rows[n]) is not rows[n] or (unit, n) in seen:
+            gone[n].update(lines)
+        seen[unit, n] = True
+    return gone
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_line_removal_equals_brute_force(frame, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup.removals, "__defaults__", (1, hot, line_dedup.BROADCAST_ROWS))
+    shared = "this line of some more words is Shared  by all"
+    rows = [(i, f"own line number {i} with words {i}\n{shared if i % 2 else shared.lower()}\nshort line\n\n \t\nend {i}\n") for i in range(9)]
+    rows += [(20, f"{shared}\n{shared}"), (21, "short line"), (22, "wrapped passage\nof several\nlines\n\nrest"), (23, "wrapped\r\npassage OF several lines"), (24, "wrapped passage of several lines")]
+    rows += [(25, "long line " * 200_000 + "\nshort line"), (904, "x")]
+    docs = frame(rows).withColumn("_removed", F.lit("own")).withColumn("kept", F.lit(1)).withColumn("key", F.lit(2))
+    every = [*rows, *[r for r in ODD if r[0] not in (904, 906)]]
+    got = collections.defaultdict(list)
+    for r in line_dedup.report(docs).collect():
+        got[r["doc_id"]].append(r)
+    assert sum(map(len, got.values())) == len(rows) + len(ODD)
+    for (i, text), gone in zip(every, brute_lines(every), strict=True):
+        at, spans, left = 0, [], []
+        for k, line in enumerate((text or "").split("\n")):
+            if k in gone:
                 spans.append(f"{at}:{at + len(line)}")
+            else:
+                left.append(line)
             at += len(line) + 1
-        assert got[i]["spans"] == ",".join(spans) and got[i]["n_spans"] == len(spans)
-    kept = {r["doc_id"]: r["text"] for r in line_dedup.cleaned(docs).collect()}
-    assert kept[0] == rows[0][1] and "hared" not in kept[3] and kept[20] == ""
-    assert line_dedup.report(docs).count() == len(rows) + len(ODD)
+        want = ("\n".join(left), ",".join(spans), len(spans))
+        found = {(r["n_chars"], r["kept_sha256"], r["spans"], r["n_spans"]) for r in got[i]}
+        if i == 904:
+            continue
+        assert (len(want[0]), hashlib.sha256(want[0].encode()).hexdigest(), *want[1:]) in found
+    kept = {r["doc_id"]: r for r in line_dedup.cleaned(docs).collect()}
+    assert kept[0]["text"] == rows[0][1] and "hared" not in kept[3]["text"] and kept[20]["text"] == "" and kept[23]["text"] == "" and kept[24]["text"] == ""
+    assert kept[3]["_removed"] == "own" and kept[3].asDict().keys() == set(docs.columns)
+    assert line_dedup.cleaned(docs, min_words=3).filter("doc_id = 21").first()["text"] == "short line"
+
+
+def test_planted_passages_are_caught_and_clean_documents_stay(frame):
+    """Passages of over 50 words as whole lines, as wrapped paragraphs and among other lines."""
+    passages = [prose(900 + k, 60) for k in range(8)]
+
+    def wrapped(words, n):
+        return "\n".join(" ".join(words[a : a + n]) for a in range(0, len(words), n))
+
+    rows, planted = [], set()
+    for i in range(160):
+        own = [" ".join(prose(10_000 + 9 * i + k, 12)) for k in range(4)]
+        if i % 2:
+            planted.add(i)
+            own.insert(2, "\n" + wrapped(passages[i % 8], (60, 20, 13, 7)[i // 2 % 4]) + "\n")
+        rows.append((i, "\n".join(own)))
+    got = {r["doc_id"]: r for r in line_dedup.report(frame(rows, odd=False)).collect()}
+    later = {i for i in planted if i >= 16}
+    caught = {i for i in later if got[i]["n_removed"] > 300}
+    assert len(caught) >= 0.9 * len(later)
+    assert all(got[i]["n_spans"] == 0 and got[i]["n_chars"] == len(rows[i][1]) for i in range(160) if i not in planted)
 
 
 def test_empty_tables(frame):
