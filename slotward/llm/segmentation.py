@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, functions as F
 SAMPLES = 2
 SHARPNESS = 1.0
 MARK = "▁"
-UNIT = re.compile(f"{MARK}+[^{MARK}]*")
+UNIT = re.compile(" +[^ ]*")
 SLOTS = 21  # bits of a slot in the piece tables
-EDGES = 1_500_000  # edges kept per worker before the tables start anew
+EDGES = 4_000_000  # edges kept per worker before rare units are forgotten
 SLICE = 60_000  # units handled at once
-GOLD = np.uint64(0x9E3779B97F4A7C15)
+GOLD, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -72,30 +72,37 @@ class Vocabulary:
         self.unknown = model.unk_id()
         self.fallback = float(n) ** -sharpness
         self.longest = max(map(len, pieces), default=1)
-        hashes = np.array([self._hash(p) for p in pieces], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(list(pieces.values()), np.int64)[order]
-        rank = np.minimum([-model.get_score(int(i)) for i in self.ids], float(n))
+        # Beginnings of pieces are kept too, with id -1, so that a look-up also tells whether to look further.
+        starts = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | pieces
+        self.hashes, self.ids = np.array([self._hash(p) for p in starts], np.uint64), np.array(list(starts.values()), np.int32)
+        rank = np.minimum([-model.get_score(i) if i >= 0 else 0.0 for i in self.ids.tolist()], float(n))
         self.weights = (rank + 2.0) ** -sharpness
-        # Slots by the upper bits; the few pieces whose slot is taken go to a second table by other bits.
-        top, low = self._slots(self.hashes)
+        # Slots by the upper bits of a product; those whose slot is taken go to a second table under another factor.
+        every = np.arange(len(self.hashes), dtype=np.int32)
         self.first, self.second = np.zeros(1 << SLOTS, np.int32), np.zeros(1 << SLOTS, np.int32)
-        self.first[top] = np.arange(len(order))
-        late = np.flatnonzero(self.first[top] != np.arange(len(order)))
-        self.second[low[late]] = late
-        lost = late[self.second[low[late]] != late]
-        assert not len(lost), "two pieces share both slots"
+        top = self._slots(self.hashes, SPREAD)
+        self.first[top] = every
+        late = every[self.first[top] != every]
+        for k in range(100):
+            self.factor = mixed(np.array([k], np.uint64))[0] | np.uint64(1)
+            low = self._slots(self.hashes[late], self.factor)
+            if len(np.unique(low)) == len(late):
+                break
+        else:
+            raise ValueError("pieces share their slots")
+        self.second[low] = late
 
     @staticmethod
-    def _slots(run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        spread = mixed(run)
-        return (spread >> np.uint64(64 - SLOTS)).astype(np.int64), (spread & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
+    def _slots(run: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return ((run * factor) >> np.uint64(64 - SLOTS)).astype(np.int32)
 
     def find(self, run: np.ndarray) -> np.ndarray:
-        """Index of the piece of each hash, -1 without one."""
-        top, low = self._slots(run)
-        one, two = self.first[top], self.second[low]
-        return np.where(self.hashes[one] == run, one, np.where(self.hashes[two] == run, two, -1))
+        """Index of the piece or beginning of each hash, -1 without one."""
+        spot = self.first[self._slots(run, SPREAD)]
+        other = np.flatnonzero(self.hashes[spot] != run)
+        again = self.second[self._slots(run[other], self.factor)]
+        spot[other] = np.where(self.hashes[again] == run[other], again, -1)
+        return spot
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -108,22 +115,74 @@ class Vocabulary:
         """Text of the pieces, without the space put before the first word."""
         return b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
+    def decodes_to(self, ids: list[int], text: str) -> bool:
+        """Whether `decode` gives the text; equal bytes need no decoding."""
+        raw = b"".join(map(self.surface.__getitem__, ids))
+        return raw == (" " + text if ids else text).encode("utf-8", "surrogatepass") or self.decode(ids) == text
+
+
+def units_of(text: str) -> list[str]:
+    """Units of a text with the mark put before it, each without its first mark and with blanks for the others."""
+    text = text.replace(MARK, " ")
+    if not text:
+        return []
+    if text[0] != " " and "  " not in text:
+        return text.split(" ")
+    return [u[1:] for u in UNIT.findall(" " + text)]
+
 
 class Tables:
     """Backward-sampling tables of the units seen so far: edges ordered by the node they end in."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.ends, self.extra, self.spelled = vocabulary, {}, [], {}
-        self.key, self.log = np.zeros(0), np.zeros(0)
-        self.source = self.target = self.piece = self.into = np.zeros(0, np.int64)
-        self.nodes = 0
+        self.vocabulary, self.extra, self.spelled = vocabulary, [], {}
+        self.key, self.log = np.empty(0), np.empty(0)
+        self.source, self.target, self.piece, self.into, self.head, self.last, self.count = (np.empty(0, np.int32) for _ in range(7))
+        self._clear()
+
+    def _clear(self) -> None:
+        """Forget all units; the arrays keep their room."""
+        self.numbers: dict[str, int] = {}  # a unit's place in `head` and `last`, its first and last node, and in `count`
+        self.nodes = self.edges = 0
+
+    def _thin(self) -> None:
+        """Forget the units seen once since the last time, or all if the others fill half the room."""
+        n = len(self.numbers)
+        keep = self.count[:n] > 1
+        node_unit = np.repeat(np.arange(n), self.last[:n] - self.head[:n] + 1)
+        source, target, into = self.source[: self.edges], self.target[: self.edges], self.into[: self.nodes]
+        nodes, edges = keep[node_unit], keep[node_unit[target]]
+        if edges.sum() > EDGES // 2:
+            return self._clear()
+        node, edge = np.cumsum(nodes) - 1, np.cumsum(edges) - 1
+        moved = {
+            "key": (self.key[: self.edges] + (node[target] - target))[edges], "source": node[source[edges]], "target": node[target[edges]],
+            "piece": self.piece[: self.edges][edges], "log": self.log[: self.edges][edges], "into": np.where(into >= 0, edge[into], -1)[nodes],
+            "head": node[self.head[:n][keep]], "last": node[self.last[:n][keep]],
+        }
+        for name, values in moved.items():
+            getattr(self, name)[: len(values)] = values
+        self.numbers = {u: k for k, u in enumerate(u for u, stays in zip(self.numbers, keep.tolist()) if stays)}
+        self.nodes, self.edges = int(nodes.sum()), int(edges.sum())
+        self.count[: len(self.numbers)] = 0
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write values from `at` on into an array whose room at least doubles when it ends."""
+        room, end = getattr(self, name), at + len(values)
+        if end > len(room):
+            grown = np.empty(max(end, 2 * len(room)), room.dtype)
+            grown[:at] = room[:at]
+            room = grown
+            setattr(self, name, room)
+        room[at:end] = values
 
     def add(self, units: list[str]) -> None:
         """Append the tables of new units: look up all their substrings at once, then go forward by position."""
         if not units:
             return
-        code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        size = np.fromiter(map(len, units), np.int64, len(units))
+        code = np.frombuffer((" " + " ".join(units)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        code[code == 32] = ord(MARK)
+        size = np.fromiter(map(len, units), np.int64, len(units)) + 1
         unit = np.repeat(np.arange(len(units)), size)
         place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
         first = self.nodes + np.cumsum(size + 1) - size - 1  # node before a unit's first character
@@ -136,13 +195,16 @@ class Tables:
             at = at[keep]
             run = run[keep] * GOLD + code[at + n - 1] + np.uint64(1)
             spot = self.vocabulary.find(run)
-            hit = spot >= 0
+            known = spot >= 0
+            found = self.vocabulary.ids[spot]
+            hit = known & (found >= 0)
             begin.append(node[at[hit]])
-            end.append(node[at[hit]] + n)
-            piece.append(self.vocabulary.ids[spot[hit]])
+            end.append(begin[-1] + n)
+            piece.append(found[hit])
             weight.append(self.vocabulary.weights[spot[hit]])
+            bare = at[~hit]
+            at, run = at[known], run[known]  # nothing longer begins with the others
             if n == 1:
-                bare = at[~hit]
                 begin.append(node[bare])
                 end.append(node[bare] + 1)
                 chars = [chr(c) for c in code[bare].tolist()]
@@ -152,7 +214,11 @@ class Tables:
         order = np.argsort(end, kind="stable")
         begin, end, piece, weight = (x[order] for x in (begin, end, piece, weight))
         self._append(begin, end, piece, self._chances(begin, end, weight, first, size))
-        self.ends |= zip(units, (first + size).tolist())
+        held = len(self.numbers)
+        self.numbers |= zip(units, range(held, held + len(units)))
+        self._put("head", held, first)
+        self._put("last", held, first + size)
+        self._put("count", held, np.zeros(len(units), np.int32))
         self.nodes = int(first[-1] + size[-1] + 1)
 
     def _chances(self, begin, end, weight, first, size) -> np.ndarray:
@@ -178,17 +244,18 @@ class Tables:
         return chance
 
     def _append(self, begin, end, piece, chance) -> None:
-        start = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
+        start = np.append(0, np.flatnonzero(end[1:] != end[:-1]) + 1)
         size = np.diff(np.append(start, len(end)))
         run = np.cumsum(chance)
         run = np.minimum(run - np.repeat(run[start] - chance[start], size), 1.0)
         run[start + size - 1] = 1.0
-        into = np.full(int(end[-1]) + 1 - self.nodes, -1, np.int64)
-        into[end[start] - self.nodes] = start + len(self.key)
-        self.into = np.append(self.into, into)
-        self.key = np.append(self.key, end + run)
-        self.source, self.target = np.append(self.source, begin), np.append(self.target, end)
-        self.piece, self.log = np.append(self.piece, piece), np.append(self.log, np.log(np.maximum(chance, 1e-300)))
+        into = np.full(int(end[-1]) + 1 - self.nodes, -1, np.int32)
+        into[end[start] - self.nodes] = start + self.edges
+        self._put("into", self.nodes, into)
+        values = {"key": end + run, "source": begin, "target": end, "piece": piece, "log": np.log(np.maximum(chance, 1e-300))}
+        for name, value in values.items():
+            self._put(name, self.edges, value)
+        self.edges += len(end)
 
     def _spelled(self, char: str) -> int:
         """A byte piece, or a negative index of several (the unknown piece where the file has no bytes)."""
@@ -199,12 +266,17 @@ class Tables:
             self.spelled[char] = ids[0] if len(ids) == 1 else -len(self.extra)
         return self.spelled[char]
 
-    def nodes_of(self, units: list[str]) -> np.ndarray:
-        """End nodes of the units, after adding the new ones; starts anew when full."""
-        if len(self.key) > EDGES:
-            self.__init__(self.vocabulary)
-        self.add([u for u in dict.fromkeys(units) if u not in self.ends])
-        return np.fromiter(map(self.ends.__getitem__, units), np.int64, len(units))
+    def nodes_of(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """First and last nodes of the units, after adding the new ones; makes room when full."""
+        if self.edges > EDGES:
+            self._thin()
+        at = list(map(self.numbers.get, units))
+        if None in at:
+            self.add(list(dict.fromkeys(u for u, k in zip(units, at) if k is None)))
+            at = [self.numbers[u] if k is None else k for u, k in zip(units, at)]
+        at = np.array(at, np.int64)
+        self.count[: len(self.numbers)] += np.bincount(at, minlength=len(self.numbers)).astype(np.int32)
+        return self.head[at].astype(np.int64), self.last[at].astype(np.int64)
 
     def descend(self, node: np.ndarray, left: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw edges back to the start of each walker's unit; (walker, edge), in order of walker and step."""
@@ -213,7 +285,7 @@ class Tables:
         turn = 0
         while len(who):
             u = uniform(seed[who] + np.uint64(turn))
-            edge, aim = self.into[node], node + u
+            edge, aim = self.into[node].astype(np.int64), node + u
             behind = np.flatnonzero(self.key[edge] <= aim)
             while len(behind):
                 edge[behind] += 1
@@ -221,7 +293,7 @@ class Tables:
             walkers.append(who)
             edges.append(edge)
             left_now = left[who]
-            node = self.source[edge]
+            node = self.source[edge].astype(np.int64)
             go = node > left_now
             who, node, turn = who[go], node[go], turn + 1
         if not walkers:
@@ -230,44 +302,63 @@ class Tables:
         order = np.argsort(walkers, kind="stable")
         return walkers[order], edges[order]
 
-    def ids(self, edges: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        """Piece ids in text order of a path (units in order, edges of a unit from its end)."""
-        start = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-        size = np.diff(np.r_[start, len(unit)])
-        first = np.repeat(start, size)
-        found = self.piece[edges[2 * first + np.repeat(size, size) - 1 - np.arange(len(unit))]]
-        if len(found) and found.min() < 0:
-            return np.array([x for p in found.tolist() for x in (self.extra[-p - 1] if p < 0 else (p,))], np.int64)
-        return found
+    def ids(self, paths: list[Path]) -> list[np.ndarray]:
+        """Piece ids of paths in text order (units are in order, the edges of a unit from its end)."""
+        cuts = np.cumsum([0, *(len(p.edges) for p in paths)])
+        if not cuts[-1]:
+            return [np.zeros(0, np.int32) for _ in paths]
+        unit = np.concatenate([p.unit for p in paths])
+        new = np.append(True, unit[1:] != unit[:-1])
+        new[cuts[:-1][cuts[:-1] < len(new)]] = True
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(unit)))
+        turned = np.repeat(2 * start + size - 1, size) - np.arange(len(unit))
+        found = self.piece[np.concatenate([p.edges for p in paths])[turned]]
+        out = [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        if found.min() >= 0:
+            return out
+        spelled = lambda own: np.array([x for p in own.tolist() for x in (self.extra[-p - 1] if p < 0 else (p,))], np.int32)
+        return [spelled(own) if len(own) and own.min() < 0 else own for own in out]
 
 
 class Path:
     """A sampled path with the edges that its part of the space excludes at one decision."""
 
     def __init__(self, edges, unit, score, at, banned):
-        self.edges, self.unit, self.score, self.at, self.banned = edges, unit, score, at, banned
-
-    def split(self, tables: Tables, seed: np.uint64) -> None:
-        """Perturbed scores of the parts that differ first at each decision from `at` on."""
-        log = tables.log[self.edges]
-        before = np.cumsum(log) - log
-        self.log_prob = float(log.sum())
-        with np.errstate(divide="ignore"):
-            rest = 1 - np.exp(log)
-            if self.banned:
-                rest[self.at] -= sum(math.exp(tables.log[e]) for e in self.banned)
-            mass = before + np.log(np.where(rest > 1e-12, rest, 0.0))
-            mass[: self.at] = -np.inf
-            gumbel = mass - np.log(-np.log(uniform(seed + np.arange(len(log), dtype=np.uint64))))
-        self.parts = -np.logaddexp(-self.score, -gumbel)
+        self.edges, self.unit, self.score, self.at, self.banned, self.log_prob = edges, unit, score, at, banned, None
 
     def best(self) -> float:
         return float(self.parts.max()) if len(self.parts) else -math.inf
 
 
+def split(tables: Tables, paths: list[Path], seeds: np.ndarray) -> None:
+    """Perturbed scores of the parts of each path that differ from it first at each decision from `at` on."""
+    if not paths:
+        return
+    cuts = np.cumsum([0, *(len(p.edges) for p in paths)])
+    size = np.diff(cuts)
+    log = tables.log[np.concatenate([p.edges for p in paths])]
+    run = np.empty(len(log))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        np.cumsum(log[a:b], out=run[a:b])
+    place = np.arange(len(log)) - np.repeat(cuts[:-1], size)
+    with np.errstate(divide="ignore"):
+        rest = 1 - np.exp(log)
+        for path, a in zip(paths, cuts.tolist()):
+            if path.banned:
+                rest[a + path.at] -= sum(math.exp(tables.log[e]) for e in path.banned)
+        mass = run - log + np.log(np.where(rest > 1e-12, rest, 0.0))
+        mass[place < np.repeat([p.at for p in paths], size)] = -np.inf
+        gumbel = mass - np.log(-np.log(uniform(np.repeat(seeds, size) + place.astype(np.uint64))))
+    parts = -np.logaddexp(-np.repeat([p.score for p in paths], size), -gumbel)
+    for path, a, b in zip(paths, cuts[:-1].tolist(), cuts[1:].tolist()):
+        path.parts, path.log_prob = parts[a:b], float(run[b - 1])
+
+
 def _deviate(tables: Tables, node: int, banned: list[int], u: float) -> int:
     """An edge into `node` other than the banned ones."""
-    low, high = np.searchsorted(tables.target, [node, node + 1])
+    low = int(tables.into[node])
+    high = low + int((tables.target[low : min(low + tables.vocabulary.longest + 1, tables.edges)] == node).sum())
     weight = np.exp(tables.log[low:high])
     weight[[e - low for e in banned]] = 0
     run = np.cumsum(weight)
@@ -276,11 +367,10 @@ def _deviate(tables: Tables, node: int, banned: list[int], u: float) -> int:
 
 def sampled(tables: Tables, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text up to k of (ids, log_prob, perturbed score, inclusion score)."""
-    units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+    units = [units_of(t) for t in texts]
     size = np.array([len(u) for u in units], dtype=np.int64)
     flat = [u for row in units for u in row]
-    end = tables.nodes_of(flat)
-    left = end - np.fromiter(map(len, flat), np.int64, len(flat))
+    left, end = tables.nodes_of(flat)
     begin = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(texts)), size)
     place = (np.arange(len(flat)) - begin[owner]).astype(np.uint64)
@@ -300,9 +390,9 @@ def sampled(tables: Tables, texts: list[str], seeds: np.ndarray, k: int) -> list
     open_rows = np.flatnonzero(size)
     for turn in range(1, k + 1):
         jobs = []
+        split(tables, [found[r][-1] for r in open_rows], row_seed[open_rows] + np.uint64(turn << 32))
         for r in open_rows:
             paths = found[r]
-            paths[-1].split(tables, row_seed[r] + np.uint64(turn << 32))
             best = max(paths, key=Path.best)
             score = best.best()
             if score == -math.inf:
@@ -323,24 +413,25 @@ def sampled(tables: Tables, texts: list[str], seeds: np.ndarray, k: int) -> list
             unit = int(best.unit[at])
             own = [unit] if tables.source[chosen] > left[unit] else []
             later = np.arange(unit + 1, begin[r] + size[r])
-            starts.append(np.r_[np.array(own, np.int64), later])
-            nodes.append(np.r_[tables.source[[chosen] * len(own)], end[later]])
+            starts.append(np.concatenate([np.array(own, np.int64), later]))
+            nodes.append(np.concatenate([tables.source[[chosen] * len(own)], end[later]]))
             spans.append(len(starts[-1]))
         walker_unit = np.concatenate(starts)
         walker, edge = draw(walker_unit, np.concatenate(nodes), turn)
         cuts = np.searchsorted(walker, np.append(0, np.cumsum(spans)))
         for (r, best, at, banned, chosen, score), a, b in zip(jobs, cuts[:-1], cuts[1:], strict=True):
-            edges = np.r_[best.edges[:at], chosen, edge[a:b]]
-            unit = np.r_[best.unit[: at + 1], walker_unit[walker[a:b]]]
+            edges = np.concatenate([best.edges[:at], [chosen], edge[a:b]])
+            unit = np.concatenate([best.unit[: at + 1], walker_unit[walker[a:b]]])
             found[r].append(Path(edges, unit, score, at, banned))
         open_rows = np.array([job[0] for job in jobs])
+    whole = iter(tables.ids([path for paths in found for path in paths]))
     out = []
     for r, paths in enumerate(found):
         rows = []
         for path in paths:
-            log_prob = float(tables.log[path.edges].sum())
+            log_prob = path.log_prob if path.log_prob is not None else float(np.cumsum(tables.log[path.edges])[-1]) if len(path.edges) else 0.0
             inclusion = -math.expm1(-math.exp(min(log_prob - threshold[r], 700.0))) if threshold[r] > -math.inf else 1.0
-            rows.append((tables.ids(path.edges, path.unit), log_prob, path.score, inclusion))
+            rows.append((next(whole), log_prob, path.score, inclusion))
         out.append(rows)
     return out
 
@@ -376,7 +467,7 @@ def _mapper(path: str, k: int, sharpness: float, digest: bool):
                     "inclusion": pa.array([x[5] for x in rows], pa.float64()),
                 }
                 if digest:
-                    back = [vocabulary.decode(x[2].tolist()) == texts[a + x[0]].replace(MARK, " ") for x in rows]
+                    back = [vocabulary.decodes_to(x[2].tolist(), texts[a + x[0]].replace(MARK, " ")) for x in rows]
                     columns["ids_md5"] = pa.array([hashlib.md5(x[2].astype("<i4").tobytes()).hexdigest() for x in rows])
                     columns["round_trip"] = pa.array(back)
                 else:

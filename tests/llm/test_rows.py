@@ -302,3 +302,20 @@ def test_sql(spark, sf, name):
 
     problem, _ = compare.difference(queries.QUERIES[name](spark, sf), compare.connect(sf), queries.ORACLES[name])
     assert problem is None
+
+
+def test_forgetting_rare_units_changes_no_sample(monkeypatch):
+    vocabulary = segmentation.Vocabulary(PIECES)
+    texts = [" ".join(prose(k, 40)) + "  two  blanks ▁mark é " + " ".join(prose(k // 3, 20)) for k in range(30)]
+    seeds = np.arange(30, dtype=np.uint64)
+
+    def drawn(edges):
+        monkeypatch.setattr(segmentation, "EDGES", edges)
+        tables, found = segmentation.Tables(vocabulary), []
+        for a in range(0, 30, 5):
+            found += segmentation.sampled(tables, texts[a : a + 5], seeds[a : a + 5], 2)
+        return [[(ids.tolist(), round(p, 9), round(g, 9)) for ids, p, g, _ in rows] for rows in found]
+
+    whole = drawn(1 << 40)
+    assert whole == drawn(2000) == drawn(1)
+    assert all(vocabulary.decode(ids) == t.replace("▁", " ") for rows, t in zip(whole, texts) for ids, *_ in rows)
