@@ -1,10 +1,11 @@
 """Isolation forest: trees on small hashed samples, scores from a compact node table."""
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, health
 
@@ -20,18 +21,47 @@ def average_path(n) -> np.ndarray:
     return np.where(n > 2, long, np.where(n == 2, 1.0, 0.0))
 
 
+def _uniform(*parts: Column) -> Column:
+    """Number in [0, 1) from a hash."""
+    return F.pmod(F.shiftright(F.xxhash64(*parts), 11), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def drawn_trees(key: str, trees: int, share: float, seed: int) -> Column:
+    """Trees that draw a row, each with probability `share` on its own.
+
+    One hash gives their number by the inverse of the binomial distribution, and that is all for most rows of a
+    large table; a further hash per tree picks distinct trees, each new pick that is taken giving way to the
+    highest number allowed (Floyd's sampling).
+    """
+    none = F.array().cast("array<int>")
+    if share >= 1:
+        return F.sequence(F.lit(0), F.lit(trees - 1))
+    upto, total = [], 0.0
+    for k in range(trees):
+        total += comb(trees, k) * share**k * (1 - share) ** (trees - k)
+        upto.append(total)
+        if 1 - total < 1e-15:
+            break
+    u = _uniform(F.col(key), F.lit(seed))
+    number = F.size(F.filter(F.array(*map(F.lit, upto)), lambda c: c <= u))
+
+    def pick(chosen: Column, j: Column) -> Column:
+        t = F.floor(_uniform(F.col(key), j, F.lit(seed + 2)) * (j + 1)).cast("int")
+        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, t), j).otherwise(t)))
+
+    picked = F.aggregate(F.sequence(F.lit(trees) - number, F.lit(trees - 1)), none, pick)
+    return F.when(u < F.lit(upto[0]), none).otherwise(picked)
+
+
 def tree_samples(rows: DataFrame, features: list[str], key: str, trees: int, sample: int, seed: int, size: int) -> DataFrame:
-    """At most `sample` of all `size` rows per tree, chosen by a hash of the row key, so partitioning does not matter.
+    """At most `sample` of all `size` rows per tree, chosen by hashes of the row key, so partitioning does not matter.
 
-    A row draws once per tree and only the draws that pass are exploded, so about 2 * sample * trees rows leave
-    the scan whatever the size of the table.
+    About 2 * sample * trees rows leave the scan whatever the size of the table.
     """
     share = min(1.0, 2.0 * sample / max(size, 1))
-    bound = min(int(-(2**63) + share * 2**64), 2**63 - 1)
-    draw = lambda tree: F.struct(tree.alias("tree"), F.xxhash64(F.col(key), tree, F.lit(seed + 1)).alias("draw"))
-    draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), draw), lambda d: d["draw"] <= F.lit(bound))
-    picked = rows.withColumn("_drawn", draws).filter(F.size("_drawn") > 0)
-    drawn = picked.select(key, *health.imputed(features, fill_rest=True), F.inline("_drawn"))
+    picked = rows.withColumn("_trees", drawn_trees(key, trees, share, seed)).filter(F.size("_trees") > 0)
+    drawn = picked.select(key, *health.imputed(features, fill_rest=True), F.explode("_trees").alias("tree"))
+    drawn = drawn.withColumn("draw", F.xxhash64(F.col(key), "tree", F.lit(seed + 1)))
     order = Window.partitionBy("tree").orderBy("draw", key)
     return drawn.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample)
 

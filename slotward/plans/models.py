@@ -1,6 +1,8 @@
 """Detectors and classifiers. Fitted models have no SQL form; their evaluation does, given scores."""
 
-from pyspark.sql import functions as F
+import functools
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed, health
 from ..operators import attribution, classifiers, density, evaluation, isolation, oneclass, ranking, reconstruction, reports, temporal, vectors
@@ -195,8 +197,7 @@ def standardized(spark, sf):
 
 def one_class_flagged(scaled):
     decided = ranking.pinned(oneclass.OneClass(FEATURES).fit(scaled).decide(scaled))
-    cut = ranking.exact_percentiles(decided, "decision", {"cut": fixed.ONE_CLASS_NU}, "n")["cut"]
-    return decided.withColumn("one_class", F.col("decision") < cut)
+    return decided.withColumn("one_class", F.col("decision") < 0)
 
 
 @query("ml04_one_class_svm")
@@ -281,41 +282,45 @@ def evaluated(spark, sf, name, kind, label="target_failure_3slot", features=None
     return evaluation.report(scored, label, "probability_of_failure", name)
 
 
+TARGETS = ["target_failure_3slot", "target_failure_6slot"]  # 12 h and 24 h
+WITHOUT_VENDOR = "Boosted Trees (No Vendor Flags)"
+
+
+def both_targets(spark, sf, models):
+    """Evaluations of the (name, kind, features) models for both look-ahead labels."""
+    parts = [evaluated(spark, sf, n, k, label, f).withColumn("target", F.lit(label)) for label in TARGETS for n, k, f in models]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 @query("ml11_logistic_regression")
 def _(spark, sf):
-    return evaluated(spark, sf, "Logistic Regression", "logistic")
+    return both_targets(spark, sf, [("Logistic Regression", "logistic", None)])
 
 
 @query("ml12_random_forest")
 def _(spark, sf):
-    return evaluated(spark, sf, "Random Forest", "forest")
+    return both_targets(spark, sf, [("Random Forest", "forest", None)])
 
 
 @query("ml13_boosted_trees")
 def _(spark, sf):
-    return evaluated(spark, sf, "Boosted Trees", "boosted")
+    return both_targets(spark, sf, [("Boosted Trees", "boosted", None)])
 
 
 @query("ml14_vendor_ablation")
 def _(spark, sf):
-    """The boosted trees with and without the vendor flags, and the difference."""
-    full = evaluated(spark, sf, "Boosted Trees", "boosted")
-    cut = evaluated(spark, sf, "Boosted Trees (No Vendor Flags)", "boosted", features=NO_VENDOR)
-    both = full.unionByName(cut)
-    change = lambda c: (F.max(F.when(F.col("model").contains("No Vendor"), F.col(c))) - F.max(F.when(~F.col("model").contains("No Vendor"), F.col(c)))).alias(c)
-    delta = both.agg(*[change(c) for c in both.columns if c != "model"]).withColumn("model", F.lit("difference"))
+    """The boosted trees with and without the vendor flags, and the difference, for both labels."""
+    both = ranking.pinned(both_targets(spark, sf, [("Boosted Trees", "boosted", None), (WITHOUT_VENDOR, "boosted", NO_VENDOR)]))
+    of = lambda c, cut: F.max(F.when((F.col("model") == WITHOUT_VENDOR) == F.lit(cut), F.col(c)))
+    names = [c for c in both.columns if c not in ("model", "target")]
+    delta = both.groupBy("target").agg(*[(of(c, True) - of(c, False)).alias(c) for c in names]).withColumn("model", F.lit("difference"))
     return both.unionByName(delta)
 
 
 @query("ml18_model_comparison")
 def _(spark, sf):
-    parts = [evaluated(spark, sf, n, k, features=f) for n, k, f in [
-        ("Logistic Regression", "logistic", None), ("Random Forest", "forest", None), ("Boosted Trees", "boosted", None),
-        ("Boosted Trees (No Vendor Flags)", "boosted", NO_VENDOR)]]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return both_targets(spark, sf, [("Logistic Regression", "logistic", None), ("Random Forest", "forest", None),
+                                    ("Boosted Trees", "boosted", None), (WITHOUT_VENDOR, "boosted", NO_VENDOR)])
 
 
 def served(spark, sf, horizon, rows):

@@ -28,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     context, folder = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         if not folder:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="slotward-")
         context.setCheckpointDir(folder)

@@ -1,12 +1,14 @@
 """Properties of the detectors, classifiers and explanations on small data."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from slotward.functions import fixed, health
 from slotward.operators import attribution, classifiers, density, evaluation, isolation, oneclass, ranking, reconstruction, vectors
-from slotward.plans import features as feature_plans
+from slotward.plans import features as feature_plans, tables
 
 FEATURES = fixed.DETECTOR_FEATURES
 
@@ -60,6 +62,34 @@ def test_density_equals_brute_force(weighted, eps, least):
     assert (got.is_noise.to_numpy() == want).all()
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.3, 200.0])
+def test_density_of_crowds_and_strays(spark, monkeypatch, spread):
+    """Heavy cells under several keys, far strays, equal vectors and no spread at all."""
+    monkeypatch.setattr(density, "SPLIT", 5)
+    monkeypatch.setattr(density, "FEW", 0)
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(0, spread, (150, 3)), rng.normal(9, 0.2, (60, 3)), rng.uniform(-30, 30, (25, 3))]).round(3)
+    table = spark.createDataFrame([(*map(float, p), int(n)) for p, n in zip(points, rng.integers(1, 3, len(points)))], "x double, y double, z double, n long")
+    got = density.noise(table, ["x", "y", "z"], 0.8, 6).toPandas()
+    assert len(got) == len(points)
+    assert (got.is_noise.to_numpy() == brute_noise(got[["x", "y", "z"]].to_numpy(float), got.n.to_numpy(float), 0.8, 6)).all()
+    assert density.noise(table.limit(0), ["x", "y", "z"], 0.8, 6).count() == 0
+
+
+def test_density_compares_few_pairs(spark, weighted, monkeypatch):
+    """Pairs looked at on all levels stay far below all pairs, and their share falls with the vectors."""
+    monkeypatch.setattr(density, "FEW", 0)
+    counts, sizes = [], []
+    for table in (weighted, tables.master(spark, "/root/testdata/sf0.01")):
+        found = table if table is weighted else vectors.collapse(table, FEATURES)
+        scaled, compared = ranking.pinned(vectors.scaled(ranking.pinned(found), FEATURES)), []
+        density.noise(scaled, FEATURES, compared=compared).count()
+        sizes.append(scaled.count())
+        counts.append(sum(compared))
+    shares = [c / n**2 for c, n in zip(counts, sizes, strict=True)]
+    assert shares[1] < 0.15 and shares[1] < shares[0]
+
+
 def test_reconstruction_improves_with_width(master, weighted):
     errors = []
     for k in (1, 3, 6):
@@ -77,6 +107,19 @@ def test_one_class_separates_far_vectors(weighted):
     assert len(pdf) == weighted.count() and common > rare
 
 
+def test_one_class_boundary_leaves_nu_outside(spark):
+    """The learned offset is a boundary: the share of all rows below it is nu, and equal rows fall on one side."""
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(3000, 3))
+    table = spark.createDataFrame([(*map(float, p), int(n)) for p, n in zip(points, rng.integers(1, 4, 3000))], "x double, y double, z double, n long")
+    model = oneclass.OneClass(["x", "y", "z"], steps=12).fit(ranking.pinned(table))
+    found = model.decide(table).agg(F.sum(F.when(F.col("decision") < 0, F.col("n")).otherwise(0)) / F.sum("n")).first()[0]
+    assert abs(found - model.nu) <= 0.1 * model.nu
+    again = oneclass.OneClass(["x", "y", "z"], steps=12).fit(ranking.pinned(table.repartition(7)))
+    assert np.allclose(again.weights, model.weights) and abs(again.offset - model.offset) < 1e-9
+    assert oneclass.OneClass(["x"]).fit(table.limit(0)).offset == 0.0
+
+
 def test_training_rows_keep_the_weight_and_split_hot_groups(master):
     all_rows = vectors.training_rows(master, FEATURES, "target_failure_3slot")
     assert all_rows.count() == master.count() and all_rows.filter("weight <> 1").count() == 0
@@ -168,3 +211,19 @@ def test_every_part_of_the_table_is_sampled(spark):
     per_part = {r["part"]: r["n"] for r in drawn.groupBy(F.floor(F.col("observation_id").cast("long") / 40_000).alias("part")).agg(F.count("*").alias("n")).collect()}
     assert sum(per_part.values()) == 100 * 256 and len(per_part) == 10
     assert all(0.8 * 2560 < n < 1.2 * 2560 for n in per_part.values())
+
+
+def test_trees_draw_rows_on_their_own(spark):
+    """Numbers of trees per row follow the binomial distribution, no tree is preferred, none draws a row twice."""
+    n, trees, share = 60_000, 20, 0.1
+    rows = spark.range(n).select(F.col("id").cast("string").alias("k")).withColumn("t", isolation.drawn_trees("k", trees, share, 7))
+    assert rows.filter(F.size("t") != F.size(F.array_distinct("t"))).count() == 0
+    counts = {r["size"]: r["count"] for r in rows.groupBy(F.size("t").alias("size")).count().collect()}
+    for k in range(6):
+        want = n * math.comb(trees, k) * share**k * (1 - share) ** (trees - k)
+        assert abs(counts[k] - want) < 5 * want**0.5 + 5
+    per_tree = [r["count"] for r in rows.select(F.explode("t").alias("t")).groupBy("t").count().collect()]
+    assert len(per_tree) == trees and max(abs(c - n * share) for c in per_tree) < 5 * (n * share) ** 0.5
+    pairs = rows.filter(F.array_contains("t", 3) & F.array_contains("t", 19)).count()
+    assert abs(pairs - n * share**2) < 5 * (n * share**2) ** 0.5
+    assert spark.range(3).select(isolation.drawn_trees("id", 4, 1.0, 7).alias("t")).first()["t"] == [0, 1, 2, 3]
