@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..functions import fixed, health, slots
-from ..operators import reports, temporal, vendors
+from ..operators import audit_log as log_table, reports, temporal, vendors
 from ..session import fresh_path
 from ..sources import binding
 from . import tables
 from .features import CRITICAL_NAMES, HOLDING, OTHERS, critical_names, holding_names, label_sql, other_states
-from .profiling import audit_log
+from .profiling import AS_OF
 from .registry import query
 from .tables_sql import any_equals, stamp
 from .vendors import TEXT_GOLD
@@ -238,13 +238,61 @@ def _(spark, sf):
                        "dell_overall_status", *texts)
 
 
-@query("rpt16_audit_log_by_tool", """
-SELECT user_id AS session_id, event_id AS step, value AS latency_ms FROM events WHERE event_type = 'purchase'""")
+def tool_calls(spark, sf):
+    """The event table as full records of an audit log."""
+    high = F.col("value") > 100
+    return binding.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("step"), F.col("ts").alias("timestamp"),
+        F.concat(F.lit("look for "), "event_type").alias("thought"), F.col("event_type").alias("tool_name"),
+        F.from_json("props", "map<string,string>").alias("tool_args"),
+        F.parse_json(F.to_json(F.struct("value", F.struct(high.alias("high"), F.parse_json("props").alias("props")).alias("reading")))).alias("evidence"),
+        F.when(high, F.concat(F.lit("high "), "event_type")).alias("conclusion"), F.col("value").alias("latency_ms"),
+        F.when(F.col("event_type") == "error", "ERROR").otherwise("SUCCESS").alias("tool_status"),
+        F.round(slots.hours_between(F.lit(AS_OF).cast("timestamp_ntz"), F.col("ts")), 1).alias("data_staleness_hours"),
+        F.when(F.col("event_type") == "error", F.create_map(F.lit("source"), F.lit("events"))).alias("audit_metadata"))
+
+
+def stored_log(spark, sf):
+    """A log written by two appends, the first of them repeated."""
+    path, calls = fresh_path(spark, "audit-log"), tool_calls(spark, sf)
+    first, rest = calls.filter("step % 2 = 0"), calls.filter("step % 2 = 1")
+    for part in (first, rest, first):
+        log_table.append(part, path)
+    return log_table.read(spark, path)
+
+
+@query("rpt16_audit_log_by_tool", f"""
+SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS step, {stamp('ts')} AS at, 'look for ' || event_type AS thought,
+       json_extract_string(props, '$.k') AS arg_k, value AS evidence_value, CASE WHEN value > 100 THEN 'high ' || event_type END AS conclusion,
+       round(value, 2) AS latency_ms, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'SUCCESS' END AS tool_status,
+       round((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(ts))) / 3600, 1) AS data_staleness_hours,
+       CASE WHEN event_type = 'error' THEN 'events' END AS audit_source
+FROM events WHERE event_type = 'error'""")
 def _(spark, sf):
-    path = fresh_path(spark, "audit-log")
-    audit_log(spark, sf).write.mode("append").partitionBy("tool_name").parquet(path)
-    stored = spark.read.parquet(path)
-    return stored.filter(F.col("tool_name") == "purchase").select("session_id", "step", "latency_ms")
+    found = log_table.of_tool(stored_log(spark, sf), "error")
+    return found.select(
+        "session_id", "step", slots.time_text("timestamp").alias("at"), "thought", F.col("tool_args")["k"].alias("arg_k"),
+        log_table.evidence_field("$.value", "double").alias("evidence_value"), "conclusion", "latency_ms", "tool_status",
+        "data_staleness_hours", F.col("audit_metadata")["source"].alias("audit_source"))
+
+
+@query("rpt16_audit_log_by_session", f"""
+SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS steps, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tools,
+       {stamp('min(ts)')} AS first_time, {stamp('max(ts)')} AS last_time, count(*) FILTER (WHERE value > 100) AS conclusions,
+       arg_max('high ' || event_type, (ts, event_id)) FILTER (WHERE value > 100) AS last_conclusion
+FROM events GROUP BY user_id""")
+def _(spark, sf):
+    found = log_table.sessions(stored_log(spark, sf))
+    return found.withColumns({c: slots.time_text(c) for c in ("first_time", "last_time")})
+
+
+@query("rpt16_audit_log_by_evidence", """
+SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS calls, count(*) FILTER (WHERE value > 100) AS high
+FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50 GROUP BY 1""")
+def _(spark, sf):
+    log = stored_log(spark, sf)
+    k, high = log_table.evidence_field("$.reading.props.k", "bigint"), log_table.evidence_field("$.reading.high", "boolean")
+    return log.filter(k >= 50).groupBy(k.alias("k")).agg(F.count("*").alias("calls"), F.count(F.when(high, 1)).alias("high"))
 
 
 # --- cases and look-ups ----------------------------------------------------------------------

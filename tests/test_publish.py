@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotward.functions import fixed
-from slotward.operators import audits, gold
-from slotward.plans import audits as audit_plans, publish, tables
+from slotward.operators import audit_log, audits, gold
+from slotward.plans import audits as audit_plans, publish, reports as report_plans, tables
 from slotward.session import fresh_path
 from slotward.sources import binding, sinks
 from slotward.streaming import arrivals
@@ -59,3 +59,32 @@ def test_earliest_event_wins_in_any_order_of_deliveries(spark, sf):
     batch = gold.build_gold(arrivals.earliest(raw, "event_time"), hpe, dell)
     streamed = spark.read.parquet(out).select(*batch.columns)
     assert streamed.count() == batch.count() and streamed.exceptAll(batch).count() == 0
+
+
+def test_log_takes_a_step_once(spark, sf):
+    path, calls = fresh_path(spark, "audit-log"), report_plans.tool_calls(spark, sf)
+    first, rest = calls.filter("step < 300"), calls.filter("step >= 300")
+    assert audit_log.read(spark, path).count() == 0
+    for part in (first, rest, first, first.union(rest), rest.union(rest)):
+        audit_log.append(part, path)
+    log = audit_log.read(spark, path)
+    assert log.columns == list(audit_log.FIELDS) and dict(log.dtypes) == audit_log.FIELDS
+    assert log.count() == calls.count() == log.select("session_id", "step").distinct().count()
+    one = log.filter("step = 5").first()
+    want = calls.filter("step = 5").first()
+    assert (one["tool_args"], one["evidence"].toPython(), one["timestamp"]) == (want["tool_args"], want["evidence"].toPython(), want["timestamp"])
+
+
+def test_log_of_sparse_and_odd_records(spark):
+    path = fresh_path(spark, "audit-log")
+    kind = "session_id string, step long, timestamp timestamp_ntz, tool_name string, other int"
+    rows = [("a", 1, None, None, 1), ("a", 1, None, "ping", 2), (None, 2, None, "ping", 3), ("a", None, None, "ping", 4), ("b", 1, None, "ping", 5)]
+    for _ in range(2):
+        audit_log.append(spark.createDataFrame(rows, kind), path)
+        audit_log.append(spark.createDataFrame([], kind), path)
+    found = {(r["session_id"], r["step"]): r for r in audit_log.read(spark, path).collect()}
+    assert sorted(found) == [("a", 1), ("b", 1)] and found["b", 1]["tool_status"] == "SUCCESS" and found["b", 1]["tool_args"] == {}
+    assert audit_log.of_tool(audit_log.read(spark, path), "ping").filter("session_id = 'b'").count() == 1
+    assert audit_log.sessions(audit_log.read(spark, path)).filter("session_id = 'a'").first()["steps"] == 1
+    bare = audit_log.read(spark, path).select(audit_log.evidence_field("$.x", "int").alias("x"))
+    assert bare.filter("x is not null").count() == 0
