@@ -175,9 +175,12 @@ def filled_states(columns: list[str]) -> dict[str, Column]:
     return {**{f"{c}_filled": F.coalesce(c, F.lit("Unknown")) for c in columns}, "data_missing_flag": missing}
 
 
-def isolated_outages(rows: DataFrame) -> DataFrame:
-    """Unreachable machines whose subnet is otherwise reachable in the slot."""
+def isolated_outages(rows: DataFrame, octets: int = 256) -> DataFrame:
+    """Unreachable machines whose subnet, of `octets` addresses, is otherwise reachable in the slot."""
     subnet = F.substring_index("ip_address", ".", 3)
+    if octets < 256:
+        last = F.substring_index("ip_address", ".", -1).cast("int")
+        subnet = F.concat_ws(".", subnet, (last - last % octets).cast("string"))
     placed = rows.select("observation_id", "machine_name", "monitoring_slot", "ping_status_binary", subnet.alias("subnet"))
     cells = placed.groupBy("subnet", "monitoring_slot").agg(
         F.count("*").alias("machines"), F.sum("ping_status_binary").alias("down"))

@@ -178,6 +178,16 @@ def _(spark, sf):
     return design.isolated_outages(stage(spark, sf))
 
 
+@query("doc19_isolated_outages_of_four", f"""
+WITH s AS (SELECT *, regexp_replace(ip_address, '\\.[0-9]+$', '') || '.' || CAST(CAST(regexp_extract(ip_address, '[0-9]+$') AS INT) // 4 * 4 AS VARCHAR) AS subnet FROM stage),
+c AS (SELECT subnet, monitoring_slot, count(*) AS machines, sum({PING}) AS down FROM s GROUP BY 1, 2)
+SELECT observation_id, machine_name, subnet, machines FROM s JOIN c USING (subnet, monitoring_slot)
+WHERE {PING} = 1 AND down = 1 AND machines > 1""", "stage")
+def _(spark, sf):
+    """The same rule on subnets small enough for single outages."""
+    return design.isolated_outages(stage(spark, sf), 4)
+
+
 @query("doc20_consensus_and_margin", f"""
 SELECT observation_id, {big(f"{SCORE} > 0 AND (coalesce({TEMP} > lag({TEMP}) {over()}, false) OR coalesce({PING} <> lag({PING}) {over()}, false))", 'consensus_warning')},
  {big(f'max(helper_current_failure_state) {ahead(6, 2)}', 'target_failure_margin')} FROM stage""", "stage")

@@ -252,6 +252,16 @@ def _(spark, sf):
     return profile.wrong_hours(binding.hpe(spark, sf), "machine_name", "event_time")
 
 
+@query("agg12_wrong_hours_activities", f"""
+SELECT machine_name, string_agg(CAST(h AS VARCHAR), ',' ORDER BY h) AS slot_hours
+FROM (SELECT DISTINCT user_id || '|' || event_type AS machine_name, hour({shifted('ts')}) AS h FROM events)
+GROUP BY machine_name HAVING list_sort(list(h)) <> [2, 6, 10, 14, 18, 22]""")
+def _(spark, sf):
+    """The same rule on series that do miss hours: each kind of event of each user."""
+    each = binding.table(spark, sf, "events").withColumn("series", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
+    return profile.wrong_hours(each, "series", "ts")
+
+
 def _duplicates_sql(name: str, key: str) -> str:
     return f"""SELECT '{name}' AS key_name, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extra_rows,
  CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS member_rows
