@@ -11,26 +11,15 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import health
-from ..session import fresh_path
+from .boosting import BoostedTrees
 
 
-def tree_nodes(model: PipelineModel, spark) -> pd.DataFrame:
-    """Node table of the boosted trees in the last stage; its size is fixed by rounds and depth."""
-    path = fresh_path(spark, "trees")
-    model.stages[-1].write().overwrite().save(path)
-    # the metadata columns are (tree, parameters, weight), their names depend on the Spark release
-    weights = spark.read.parquet(f"{path}/treesMetadata").toDF("tree", "parameters", "tree_weight").drop("parameters")
-    node = F.col("nodeData")
-    nodes = spark.read.parquet(f"{path}/data").select(
-        F.col("treeID").alias("tree"), node["id"].alias("node"), node["prediction"].alias("value"),
-        F.get(node["impurityStats"], 0).alias("cover"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
-        node["split"]["featureIndex"].alias("feature"), F.get(node["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"),
-    )
-    return nodes.join(weights, "tree").orderBy("tree", "node").toPandas()
+def tree_nodes(model: BoostedTrees, spark) -> pd.DataFrame:
+    """Node table of boosted trees; a leaf's value times `tree_weight` is its share of the margin, half the log-odds."""
+    return model.nodes.assign(tree_weight=0.5)
 
 
 def _leaf_paths(tree: pd.DataFrame) -> list[tuple]:
@@ -74,7 +63,7 @@ class Explainer:
         self.features, self.leaves, self.base = features, [], 0.0
         for _, tree in nodes.groupby("tree"):
             for value, path in _leaf_paths(tree):
-                value = 2.0 * value  # the learner's margin is half the log-odds
+                value = 2.0 * value  # margins to log-odds
                 order = list(path)
                 low, high, share = (np.array([path[f][k] for f in order]) for k in range(3))
                 self.base += value * float(np.prod(share)) if order else value
@@ -91,7 +80,7 @@ class Explainer:
         return out
 
 
-def explain(rows: DataFrame, model: PipelineModel, features: list[str]) -> DataFrame:
+def explain(rows: DataFrame, model: BoostedTrees, features: list[str]) -> DataFrame:
     """Add `base_value` and `contributions` (one number per feature, in feature order)."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(tree_nodes(model, spark))

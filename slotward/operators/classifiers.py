@@ -1,21 +1,21 @@
-"""Failure classifiers as Spark ML pipelines; imputation is the first stage on both sides."""
+"""Failure classifiers: Spark ML pipelines and boosted trees; inputs are imputed on both sides."""
 
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
-from ..session import shared_folder
-from . import vectors
+from ..session import path_exists, shared_folder
+from . import boosting, vectors
 
 INPUTS = "model_inputs"
 
 # Learner settings.
-GBT_SETTINGS = dict(maxIter=150, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+BOOSTED_SETTINGS = dict(maxIter=150, maxDepth=6, stepSize=0.05, rowShare=0.8, columnShare=0.8, seed=42)
 FOREST_SETTINGS = dict(numTrees=100, maxDepth=10, seed=42)
 LOGISTIC_SETTINGS = dict(maxIter=1000, elasticNetParam=0.0, standardization=False)
 
@@ -54,12 +54,16 @@ def _weighted(train: DataFrame, zero: float, one: float) -> DataFrame:
     return train.withColumn("fit_weight", F.col("weight") * factor)
 
 
-def fit(rows: DataFrame, label: str, features: list[str], kind: str, **settings) -> PipelineModel:
+def fit(rows: DataFrame, label: str, features: list[str], kind: str, **settings) -> PipelineModel | boosting.BoostedTrees:
     """Fit `logistic`, `forest` or `boosted` trees on labelled rows; a missing label counts as 0.
 
     `settings` override the learner's fixed settings.
     """
     check_features(features)
+    if kind == "boosted":
+        used = {**BOOSTED_SETTINGS, **settings}
+        return boosting.fit(rows, label, features, used["maxIter"], used["maxDepth"], used["stepSize"],
+                            used["rowShare"], used["columnShare"], used["seed"])
     shared_folder(rows.sparkSession)
     train = vectors.training_rows(rows, features, label)
     total, positive = _totals(train)
@@ -71,24 +75,28 @@ def fit(rows: DataFrame, label: str, features: list[str], kind: str, **settings)
         return _stages(features, learner, scale=True).fit(_weighted(train, *balanced))
     if kind == "forest":
         return _stages(features, RandomForestClassifier(**{**FOREST_SETTINGS, **common, **settings})).fit(_weighted(train, *balanced))
-    if kind == "boosted":
-        learner = GBTClassifier(**{**GBT_SETTINGS, **common, **settings})
-        return _stages(features, learner).fit(_weighted(train, 1.0, negative / max(positive, 1.0)))
     raise ValueError(f"unknown model kind {kind}")
 
 
-def predict(model: PipelineModel, rows: DataFrame, name: str = "probability_of_failure") -> DataFrame:
+def predict(model: PipelineModel | boosting.BoostedTrees, rows: DataFrame, name: str = "probability_of_failure") -> DataFrame:
     """Add the failure probability, rounded to nine digits."""
+    if isinstance(model, boosting.BoostedTrees):
+        return model.probability(rows, name)
     scored = model.transform(rows)
     helpers = [c for c in scored.columns if c not in rows.columns]
     return scored.withColumn(name, F.round(vector_to_array("probability")[1], 9)).drop(*helpers)
 
 
-def save(model: PipelineModel, path: str) -> None:
+def save(model: PipelineModel | boosting.BoostedTrees, path: str) -> None:
+    if isinstance(model, boosting.BoostedTrees):
+        return model.save(SparkSession.active(), path)
     model.write().overwrite().save(path)
 
 
-def load(path: str) -> PipelineModel:
+def load(path: str) -> PipelineModel | boosting.BoostedTrees:
+    spark = SparkSession.active()
+    if path_exists(spark, f"{path}/nodes"):
+        return boosting.BoostedTrees.load(spark, path)
     return PipelineModel.load(path)
 
 

@@ -10,7 +10,7 @@ from ..functions import fixed, health
 from . import ranking
 
 TRAINING_ROWS = 1_000_000  # rows a training table is brought down to, weights kept
-ROWS_PER_TASK = 20_000  # training rows per partition: boosting runs many short jobs
+ROWS_PER_TASK = 20_000  # training rows per partition
 
 
 def baselines() -> dict[str, Column]:
@@ -49,6 +49,12 @@ def scaled(vectors: DataFrame, features: list[str]) -> DataFrame:
     return vectors.select(*out, *rest)
 
 
+def labelled(rows: DataFrame, features: list[str], label: str) -> DataFrame:
+    """One row per distinct imputed vector and `label` (a missing label counts as 0), with its number of rows `n`."""
+    y = F.coalesce(F.col(label), F.lit(0)).cast("double").alias("label")
+    return rows.select(*health.imputed(features, fill_rest=True), y).groupBy(*features, "label").agg(F.count("*").alias("n"))
+
+
 def training_rows(rows: DataFrame, features: list[str], label: str, target: int = TRAINING_ROWS) -> DataFrame:
     """Weighted training rows: features, `label`, `weight`.
 
@@ -56,9 +62,7 @@ def training_rows(rows: DataFrame, features: list[str], label: str, target: int
     split again into equal parts, so that row sampling inside the learners still works on small
     pieces. The weights always add up to the number of rows.
     """
-    y = F.coalesce(F.col(label), F.lit(0)).cast("double").alias("label")
-    groups = rows.select(*health.imputed(features, fill_rest=True), y).groupBy(*features, "label").agg(F.count("*").alias("n"))
-    groups = ranking.pinned(groups)
+    groups = ranking.pinned(labelled(rows, features, label))
     total, distinct = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     part = max(1, -(-total // target))
     pieces = F.ceil(F.col("n") / part)

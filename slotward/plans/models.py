@@ -1,6 +1,7 @@
 """Detectors and classifiers. Fitted models have no SQL form; their evaluation does, given scores."""
 
 import functools
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -287,7 +288,13 @@ WITHOUT_VENDOR = "Boosted Trees (No Vendor Flags)"
 
 
 def both_targets(spark, sf, models):
-    """Evaluations of the (name, kind, features) models for both look-ahead labels."""
+    """Evaluations of the (name, kind, features) models for both look-ahead labels.
+
+    A tree learner is a chain of short jobs that leaves executors idle, so the models are fitted side by side.
+    """
+    rows = model_table(spark, sf)
+    with ThreadPoolExecutor(len(TARGETS) * len(models)) as pool:
+        list(pool.map(lambda m: classifier(spark, sf, *m, rows=rows), [(k, label, f) for label in TARGETS for _n, k, f in models]))
     parts = [evaluated(spark, sf, n, k, label, f).withColumn("target", F.lit(label)) for label in TARGETS for n, k, f in models]
     return functools.reduce(DataFrame.unionByName, parts)
 
