@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, health, slots
 from ..functions.numbers import tally
 from ..operators import gold as gold_ops
-from ..operators import screening, temporal, transitions
+from ..operators import neighbours, screening, temporal, transitions
 from ..sources import binding
 from . import tables
 from .registry import query
@@ -382,6 +382,38 @@ def _(spark, sf):
     return scores.orderBy(F.desc("mi"), "feature")
 
 
+def _digamma_sql(x):
+    z = f"({x} + 6.0::DOUBLE)"
+    steps = " - ".join(f"1 / ({x} + {j}.0::DOUBLE)" for j in range(6))
+    return f"(ln({z}) - 1 / (2 * {z}) - 1 / (12 * {z}**2) + 1 / (120 * {z}**4) - 1 / (252 * {z}**6) - {steps})"
+
+
+def _neighbour_sql(label, features, k=3):
+    """The same estimate by comparing all values of a feature with each other."""
+    cells = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, CAST(round({e} * 1000000) AS BIGINT) AS v, {label} AS y, count(*) AS n FROM master WHERE {label} IS NOT NULL GROUP BY ALL"
+        for f, e in _imputed_sql(features))
+    share = f"{_digamma_sql('k')} - {_digamma_sql('n_y')} - {_digamma_sql('m')}"
+    return f"""
+WITH raw AS ({cells}),
+c AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY feature, y) AS n_y FROM raw) WHERE n_y > 1),
+d AS (SELECT a.feature, a.y, a.v, a.n, a.n_y, least({k}, a.n_y - 1) AS near, abs(b.v - a.v) AS d,
+             sum(CASE WHEN a.v = b.v THEN b.n - 1 ELSE b.n END) AS w
+      FROM c a JOIN c b ON a.feature = b.feature AND a.y = b.y GROUP BY ALL),
+e AS (SELECT *, sum(w) OVER (PARTITION BY feature, y, v ORDER BY d) AS seen FROM d),
+r AS (SELECT feature, y, v, n, n_y, near, min(d) AS r FROM e WHERE seen >= near GROUP BY ALL),
+m AS (SELECT r.feature, r.y, r.v, r.n, r.n_y, CASE WHEN r.r = 0 THEN r.n - 1 ELSE r.near END AS k,
+             sum(CASE WHEN abs(c.v - r.v) < r.r OR c.v = r.v THEN c.n ELSE 0 END) - CASE WHEN r.r = 0 THEN 1 ELSE 0 END AS m
+      FROM r JOIN c ON r.feature = c.feature GROUP BY r.feature, r.y, r.v, r.n, r.n_y, r.near, r.r)
+SELECT feature, round(greatest({_digamma_sql('sum(n)')} + sum(n * ({share})) / sum(n), 0.0), 6) AS mi FROM m GROUP BY feature"""
+
+
+@query("ml01_rate_information", _neighbour_sql("target_failure_3slot", fixed.RATE_COLUMNS), "master")
+def _(spark, sf):
+    """The two rates as continuous columns (ml01_sort05 takes their values as categories)."""
+    return neighbours.information(tables.master(spark, sf), "target_failure_3slot", fixed.RATE_COLUMNS)
+
+
 @query("ml02_standard_scaling", " UNION ALL ".join(
     f"""SELECT '{f}' AS feature, round(avg({e}), 6) AS mean,
     round(CASE WHEN stddev_pop({e}) = 0 THEN 1.0 ELSE stddev_pop({e}) END, 6) AS scale FROM master"""
