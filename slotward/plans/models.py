@@ -317,7 +317,7 @@ def _(spark, sf):
 @query("ml14_vendor_ablation")
 def _(spark, sf):
     """The boosted trees with and without the vendor flags, and the difference, for both labels."""
-    both = ranking.pinned(both_targets(spark, sf, [("Boosted Trees", "boosted", None), (WITHOUT_VENDOR, "boosted", NO_VENDOR)]))
+    both = both_targets(spark, sf, [("Boosted Trees", "boosted", None), (WITHOUT_VENDOR, "boosted", NO_VENDOR)])  # one row per model; a frame with scalar subqueries cannot be checkpointed
     of = lambda c, cut: F.max(F.when((F.col("model") == WITHOUT_VENDOR) == F.lit(cut), F.col(c)))
     names = [c for c in both.columns if c not in ("model", "target")]
     delta = both.groupBy("target").agg(*[(of(c, True) - of(c, False)).alias(c) for c in names]).withColumn("model", F.lit("difference"))
