@@ -1,10 +1,12 @@
 """Benchmark decontamination by template windows, DataFrame functions only.
 
 Benchmark items and documents are brought to templates: numbers, units after a number and capitalised names
-inside a sentence become typed slots, the rest lower-case words. Runs of white space count as one blank. What an
-item's first token becomes depends on what stands before it, so items are searched for as they start a text and as
-they follow a word or number. Windows of WINDOW template tokens are joined
-by hash. Hits of one item on one diagonal (document position minus item position) belong together; slot values
+inside a sentence become typed slots, the rest lower-case words. A capitalised word elsewhere (first in a text, after
+a full stop, quotation mark or bracket) may be a name or a word, unless it is one of STARTERS: it is read both ways,
+in items and in documents, so a window has one hash per combination of readings of such words. Of several readings
+that agree at one place the one with fewest slots counts, which takes equal words for words. Runs of white space count
+as one blank. What an item's first token becomes depends on what stands before it, so items are searched for as they
+start a text and as they follow a word or number. Windows of WINDOW template tokens are joined by hash. Hits of one item on one diagonal (document position minus item position) belong together; slot values
 must map one to one, so a question asked again with other numbers or names is found, and text that only shares
 the skeleton with clashing values is not. A document is contaminated by an item if as many windows of one
 diagonal agree as HELD tokens have (all windows of a shorter item).
@@ -43,14 +45,23 @@ UNITS = (
     "ms|s|sec|secs|seconds?|min|mins|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|"
     "usd|eur|gbp|dollars?|euros?|cents?|percent|mph|kmh|km/h|hz|khz|mhz|ghz|w|kw|v|kb|mb|gb|tb"
 )
+# Words that start a sentence and are no names.
+STARTERS = (
+    "A|About|After|All|Also|Although|An|And|Any|Are|As|At|Because|Before|Both|But|By|Can|Could|Did|Do|Does|Each|Every|"
+    "Find|Finally|First|For|From|Given|Has|Have|He|Her|Here|His|How|However|If|In|Is|It|Its|Let|Many|More|Most|My|No|"
+    "Not|Now|Of|On|One|Or|Our|Over|She|Should|Since|So|Some|Such|Suppose|That|The|Their|Then|There|These|They|This|"
+    "Those|To|Two|Under|Until|Was|We|Were|What|When|Where|Which|While|Who|Whose|Why|Will|With|Would|Yes|You|Your"
+)
 MARK = "\u0001"
+NAME, MAYBE = f"{MARK}p", f"{MARK}q"
 
 
 def tokens(text: Column) -> Column:
-    """Template tokens; a slot is MARK, its type (p name, n number, u unit) and its value."""
+    """Template tokens; a slot is MARK, its type (p name, q name or word, n number, u unit) and its value."""
     s = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, " ")).otherwise(F.coalesce(text, F.lit("")))
     s = F.regexp_replace(s, r"[\s\p{Z}&&[^ ]][\s\p{Z}]*+| [\s\p{Z}]++", " ")
-    s = F.regexp_replace(s, r"\p{Lu}(?<=[\p{Ll}0-9,;)] .)\p{Ll}++", f" {MARK}p$0 ")
+    s = F.regexp_replace(s, r"\p{Lu}(?<=[\p{Ll}0-9,;)] .)\p{Ll}++", f" {NAME}$0 ")
+    s = F.regexp_replace(s, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?!(?:{STARTERS})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\p{{Ll}}++", f" {MAYBE}$0 ")
     # Without digits there are no numbers and units, and the second split equals the first.
     plain = F.split(s, rf"[^\p{{L}}\p{{N}}{MARK}]+")
     s = F.regexp_replace(s, r"[0-9]++(?:[.,:/][0-9]++)*+", f" {MARK}n$0 ")
@@ -60,36 +71,80 @@ def tokens(text: Column) -> Column:
     return common.lowered(F.filter(pieces, lambda t: t != ""))
 
 
-def _template(token: Column) -> Column:
-    return F.when(F.startswith(token, F.lit(MARK)), F.substring(token, 1, 2)).otherwise(token)
+def _is(token: Column, mark: str) -> Column:
+    return F.startswith(token, F.lit(mark))
 
 
-def _windows(size: int) -> Column:
-    """(at, hash, slots) of every window of `size` tokens of `tokens`, whose hashes are in `codes`."""
+def _code(token: Column) -> Column:
+    """Hash of a token's template; what may be a name is taken for a word."""
+    word = F.when(_is(token, MAYBE), F.substring(token, 3, F.length(token)))
+    return F.xxhash64(F.coalesce(word, F.when(_is(token, MARK), F.substring(token, 1, 2)).otherwise(token)))
+
+
+def _at(code: Column, place: Column) -> Column:
+    """A token's part of a window's hash; the parts are combined by exclusive or, so one can be exchanged."""
+    return F.xxhash64(code, place)
+
+
+def _places(size: int, window) -> Column:
+    """`window` of every start of `size` tokens of `tokens`."""
     last = F.size("tokens") - size
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window))
+
+
+def _hashes(size: int) -> Column:
+    """Hashes of all windows of `size` tokens in all readings."""
+    def window(at: Column) -> Column:
+        parts = [_at(F.get("codes", at + k), F.lit(k)) for k in range(size)]
+        words = F.array(reduce(lambda x, y: x.bitwiseXOR(y), parts, F.xxhash64(F.lit(size))))
 
+        def step(found: Column, k: Column) -> Column:
+            change = _at(F.get("codes", at + k), k).bitwiseXOR(_at(F.xxhash64(F.lit(NAME)), k))
+            more = F.concat(found, F.transform(found, lambda h: h.bitwiseXOR(change)))
+            return F.when(F.get("maybe", at + k), more).otherwise(found)
+
+        any_maybe = F.array_contains(F.slice("maybe", at + 1, size), True)
+        return F.when(any_maybe, F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), words, step)).otherwise(words)
+
+    return F.coalesce(F.flatten(_places(size, window)), F.array().cast("array<bigint>"))
+
+
+def _windows(size: int) -> Column:
+    """(at, window, slots) of all windows of `size` tokens in all readings, hashed as in `_hashes`."""
     def window(at: Column) -> Column:
-        code = F.xxhash64(F.lit(size), *[F.get("codes", at + k) for k in range(size)])
-        slots = F.filter(F.slice("tokens", at + 1, size), lambda t: F.startswith(t, F.lit(MARK)))
-        return F.struct(at.alias("at"), code.alias("window"), F.when(F.col("_slots"), slots).alias("slots"))
+        none = F.array().cast("array<string>")
+        start = F.array(F.struct(at.alias("at"), F.xxhash64(F.lit(size)).alias("window"), none.alias("slots")))
+
+        def step(found: Column, k: Column) -> Column:
+            token = F.get("tokens", at + k)
+
+            def read(code: Column, slot: Column) -> Column:
+                return F.transform(found, lambda w: F.struct(
+                    w["at"].alias("at"), w["window"].bitwiseXOR(_at(code, k)).alias("window"), F.concat(w["slots"], slot).alias("slots")))
+
+            maybe = _is(token, MAYBE)
+            first = read(F.get("codes", at + k), F.when(_is(token, MARK) & ~maybe, F.array(token)).otherwise(none))
+            name = F.concat(F.lit(NAME), F.substring(token, 3, F.length(token)))
+            return F.when(maybe, F.concat(first, read(F.xxhash64(F.lit(NAME)), F.array(name)))).otherwise(first)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), start, step)
 
     empty = F.array().cast("array<struct<at:int,window:bigint,slots:array<string>>>")
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window)).otherwise(empty)
+    return F.coalesce(F.flatten(_places(size, window)), empty)
 
 
 def templates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add tokens, their hashes and whether there are slots."""
+    """Add tokens, their hashes as words, and which may be names."""
     found = df.withColumn("_digits", F.coalesce(F.col(text).rlike("[0-9]"), F.lit(False)))
     return _coded(found.withColumn("tokens", tokens(F.col(text))).drop("_digits"))
 
 
 def _coded(df: DataFrame) -> DataFrame:
-    slot = F.exists("tokens", lambda t: F.startswith(t, F.lit(MARK)))
-    return df.withColumns({"codes": F.transform("tokens", lambda t: F.xxhash64(_template(t))), "_slots": slot})
+    return df.withColumns({"codes": F.transform("tokens", _code), "maybe": F.transform("tokens", lambda t: _is(t, MAYBE))})
 
 
 def item_templates(benchmark: DataFrame) -> DataFrame:
-    """(item_id, tokens, codes, _slots) of the distinct items, as they start a text and as they follow a number."""
+    """(item_id, tokens, codes, maybe) of the distinct items, as they start a text and as they follow a number."""
     after = benchmark.select("item_id", "text", F.concat(F.lit("1 "), F.coalesce("text", F.lit(""))).alias("_after"))
     after = templates(after, "_after").select("item_id", "text", F.slice("tokens", 2, F.size("tokens")).alias("_after"))
     both = templates(after).groupBy("tokens").agg(F.min("item_id").alias("item_id"), F.collect_set("_after").alias("_after"))
@@ -110,9 +165,9 @@ def item_windows(items: DataFrame) -> DataFrame:
     for size in range(LEAST, WINDOW + 1):
         fits = (n >= size) if size == WINDOW else (n == size)
         needed = F.least(F.lit(HELD), n) - size + 1
-        parts.append(items.filter(fits).select("item_id", n.alias("item_tokens"), needed.alias("needed"), F.inline_outer(_windows(size))))
-    slots = F.coalesce("slots", F.array().cast("array<string>")).alias("item_slots")
-    return reduce(DataFrame.union, parts).select("item_id", "item_tokens", "needed", F.col("at").alias("item_at"), "window", slots).distinct()
+        parts.append(items.filter(fits).select("item_id", n.alias("item_tokens"), needed.alias("needed"), F.inline(_windows(size))))
+    names = [F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots")]
+    return reduce(DataFrame.union, parts).select("item_id", "item_tokens", "needed", *names).distinct()
 
 
 def row_key(df: DataFrame) -> DataFrame:
@@ -121,7 +176,7 @@ def row_key(df: DataFrame) -> DataFrame:
 
 def _candidates(rows: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
     """Keys of the rows of which any window is an item's."""
-    spread = templates(rows).select("doc_id", "_digest", F.inline_outer(F.concat(*[_windows(n) for n in sizes])))
+    spread = templates(rows).select("doc_id", "_digest", F.explode(F.concat(*[_hashes(n) for n in sizes])).alias("window"))
     return spread.join(wanted.select("window"), "window", "left_semi").select("doc_id", "_digest").distinct()
 
 
@@ -159,14 +214,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_digest") == F.col("_found"))
     rows = templates(rows.join(common.bounded(few, broadcast_rows), same, "left_semi"))
     all_windows = F.concat(*[_windows(size) for size in sizes])
-    spread = rows.select("doc_id", "_digest", F.inline_outer(all_windows))
+    spread = rows.select("doc_id", "_digest", F.inline(all_windows))
     # Repeated rows would count twice: a window counts once per place.
     met = spread.join(wanted, "window").withColumn("diagonal", F.col("at") - F.col("item_at"))
-    pairs = F.transform(F.coalesce("slots", F.array()), lambda v, k: F.struct(v.alias("there"), F.get("item_slots", k).alias("here")))
+    pairs = F.transform("slots", lambda v, k: F.struct(v.alias("there"), F.get("item_slots", k).alias("here")))
     # Two lists of slots of one window have equal types by the template, so they zip. Places of repeated rows fall together.
-    place = F.struct("at", pairs.alias("pairs"))
+    place = F.struct("at", F.size("slots").alias("n"), pairs.alias("pairs"))
     per = met.groupBy("doc_id", "_digest", "item_id", "item_tokens", "needed", "diagonal").agg(F.sort_array(F.collect_set(place)).alias("places"))
-    per = per.filter(F.size("places") >= F.col("needed")).withColumn("pairs", F.array_distinct(F.flatten("places.pairs")))
+    least = F.filter("places", lambda p, k: (k == 0) | (F.get("places", k - 1)["at"] != p["at"]))
+    per = per.withColumn("places", least).filter(F.size("places") >= F.col("needed")).withColumn("pairs", F.array_distinct(F.flatten("places.pairs")))
     per = per.withColumn("doubtful", F.when(_one_to_one(F.col("pairs")), F.array_except("pairs", "pairs")).otherwise(_doubtful("pairs")))
     clear = F.size(F.filter("places", lambda p: ~F.arrays_overlap(p["pairs"], F.col("doubtful"))))
     per = per.withColumn("windows", F.when(F.size("doubtful") == 0, F.size("places")).otherwise(clear))

@@ -3,7 +3,8 @@
 Base spans are the matches of four fixed patterns that pass their checks; they are always kept. Looser
 candidates (numbers without a country code, spelled-out addresses, digit chains that fail the checksum) are
 added next to them. Labelers vote on every candidate: its shape, a gazetteer (endings, issuers, area codes,
-private networks), the words around it, and the characters next to it; each may abstain. Expectation
+private networks), the words around it, and the characters next to it, which speak against a part of a longer
+word only; each may abstain. Expectation
 maximisation over the counts of vote patterns estimates the labelers' reliabilities without labels; its
 posteriors train the final span classifier (naive Bayes over votes and surface features), which decides on
 the candidates that are not base spans. The counts are one row per kind and pattern, at most PATTERNS rows
@@ -42,7 +43,7 @@ OVER_255 = r"(?:^|\.)0*(?:[1-9][0-9]{3,}|[3-9][0-9]{2}|2[6-9][0-9]|25[6-9])(?:\.
 # Gazetteers and cue words of the labelers (fixed values).
 ENDINGS = r"\.(?:com|org|net|edu|gov|io|info|biz|de|fr|es|it|nl|pl|pt|se|ch|at|be|uk|ie|eu|us|ca|au|nz|in|jp|cn|br|mx)$"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|36|38|6011|65|35)"
-AREAS = r"^(?:\+|00)?(?:1|3[0-469]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
+AREAS = r"^(?:\+|00)(?:1|3[0-469]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
 PRIVATE = r"^(?:10\.|127\.|0\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|169\.254\.|2(?:2[4-9]|[3-5][0-9])\.)"
 CUES = {
     "email": r"e-?mail|contact|write|reach|reply|cc|from|to:",
@@ -111,14 +112,14 @@ def _candidate(kind: str, span: Column, base: Column) -> Column:
         "email": _vote(hit.rlike("(?i)" + ENDINGS), ~hit.rlike(r"\p{L}")),
         "ip": _vote(~hit.rlike(PRIVATE), hit.rlike(PRIVATE)),
         "card": _vote(_digits(hit).rlike(ISSUERS), ~_digits(hit).rlike(ISSUERS)),
-        "phone": _vote(_digits(hit).rlike(AREAS), _digits(hit).rlike("^([0-9])\\1+$")),
+        "phone": _vote(hit.rlike(AREAS), _digits(hit).rlike("^([0-9])\\1+$")),
     }[kind]
     word = F.when(before.rlike(r"[\p{L}\p{N}_]"), True).otherwise(after.rlike(r"[\p{L}\p{N}_]"))
     return F.struct(
         F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), base.alias("base"),
         F.when(base, 1).otherwise(F.lit(0 if kind == "card" else -1)).alias("shape"), known.alias("gazetteer"),
         _vote(near.rlike(f"(?i){CUES[kind]}"), near.rlike(f"(?i){AGAINST}")).alias("context"),
-        F.when(word, 0).otherwise(1).alias("edges"), sort(before).alias("before"), sort(after).alias("after"),
+        F.when(word, 0).otherwise(-1).alias("edges"), sort(before).alias("before"), sort(after).alias("after"),
         F.least(F.floor(F.length(hit) / 8), F.lit(3)).cast("int").alias("length"),
     )
 
@@ -154,34 +155,52 @@ def patterns(spans: DataFrame) -> list[dict]:
     return [r.asDict() for r in each.collect()]
 
 
+def estimate(own: list[dict], rounds: int = ROUNDS) -> tuple[list[float], float, list[float]]:
+    """Expectation maximisation over the vote patterns of one kind: the probability of each pattern being personal
+    data, the share of personal data, and the log of likelihood times prior before every round, which never falls.
+
+    A labeler is better than chance or says nothing: where the unbound estimates are the other way round, the best
+    pair within that bound is one common rate.
+    """
+    rates = {v: (0.8, 0.3) for v in VOTES}  # P(vote 1 | personal), P(vote 1 | not), given that it votes
+    prior, chance, history = 0.5, [0.5] * len(own), []
+    total = sum(r["n"] for r in own)
+    for _ in range(rounds):
+        value = math.log(prior) + math.log(1 - prior)
+        value += sum(4 * math.log(p) + math.log(1 - p) + math.log(q) + 2 * math.log(1 - q) for p, q in rates.values())
+        for i, r in enumerate(own):
+            yes, no = math.log(prior), math.log(1 - prior)
+            for v in VOTES:
+                if r[v] >= 0:
+                    p, q = rates[v]
+                    yes += math.log(p if r[v] else 1 - p)
+                    no += math.log(q if r[v] else 1 - q)
+            chance[i] = 1 / (1 + math.exp(max(-50.0, min(50.0, no - yes))))
+            value += r["n"] * (max(yes, no) + math.log1p(math.exp(-abs(yes - no))))
+        history.append(value)
+        prior = (sum(c * r["n"] for c, r in zip(chance, own)) + 1) / (total + 2)
+        for v in VOTES:
+            cast = [(c, r["n"], r[v]) for c, r in zip(chance, own) if r[v] >= 0]
+            hit, of = sum(c * n * x for c, n, x in cast) + 4, sum(c * n for c, n, _ in cast) + 5
+            stray, out_of = sum((1 - c) * n * x for c, n, x in cast) + 1, sum((1 - c) * n for c, n, _ in cast) + 3
+            better = hit / of >= stray / out_of
+            both = (hit + stray) / (of + out_of)
+            rates[v] = (hit / of, stray / out_of) if better else (both, both)
+    return chance, prior, history
+
+
 def fit(rows: list[dict]) -> dict[str, float]:
     """Weights of the span classifier, by "kind feature value", with the constant under "kind".
 
-    Expectation maximisation gives each vote pattern the probability of being personal data; the classifier is
-    naive Bayes over votes and surface features, weighted by those probabilities.
+    `estimate` gives each vote pattern the probability of being personal data; the classifier is naive Bayes over
+    votes and surface features, weighted by those probabilities.
     """
     weights: dict[str, float] = {}
     for kind in range(len(KINDS)):
         own = [r for r in rows if r["kind"] == kind]
         if not own:
             continue
-        rates = {v: (0.8, 0.3) for v in VOTES}  # P(vote 1 | personal), P(vote 1 | not), given that it votes
-        prior, chance = 0.5, [0.5] * len(own)
-        for _ in range(ROUNDS):
-            for i, r in enumerate(own):
-                odds = math.log(prior / (1 - prior))
-                for v in VOTES:
-                    if r[v] >= 0:
-                        p, q = rates[v]
-                        odds += math.log(p / q) if r[v] else math.log((1 - p) / (1 - q))
-                chance[i] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
-            total = sum(r["n"] for r in own)
-            prior = (sum(c * r["n"] for c, r in zip(chance, own)) + 1) / (total + 2)
-            for v in VOTES:
-                cast = [(c, r["n"], r[v]) for c, r in zip(chance, own) if r[v] >= 0]
-                p = (sum(c * n * x for c, n, x in cast) + 4) / (sum(c * n for c, n, _ in cast) + 5)
-                q = (sum((1 - c) * n * x for c, n, x in cast) + 1) / (sum((1 - c) * n for c, n, _ in cast) + 3)
-                rates[v] = (max(p, q), min(p, q))  # a labeler is taken to be better than chance
+        chance, prior, _ = estimate(own)
         weights[f"{kind}"] = math.log(prior / (1 - prior))
         yes, no = (sum(x * r["n"] for x, r in zip(side, own)) for side in (chance, [1 - c for c in chance]))
         for name in (*VOTES, *SURFACE):

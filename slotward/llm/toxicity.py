@@ -93,7 +93,11 @@ def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """Train vectors and softmax by mini-batch AdaGrad; the same rows give the same model."""
+    """Train vectors and softmax together by gradient steps of falling size; the same rows give the same model.
+
+    The first coordinate of the vectors starts at the classes' log ratios, so much of the score is there before the
+    first step; training fits the other coordinates and corrects this one.
+    """
     y = np.array(labels, dtype=np.float64)
     zero = np.zeros(BUCKETS, dtype=np.float32)
     prior = float((y.sum() + 1e-6) / (len(y) + 2e-6)) if len(y) else 0.0
