@@ -155,8 +155,10 @@ def rated(fleet, p, horizon):
 
 @query("rpt08_risk_tiers", _risk_sql("p12", "3slot") + " UNION ALL " + _risk_sql("p24", "6slot"), "fleet")
 def _(spark, sf):
-    fleet = tables.fleet(spark, sf)
-    return rated(fleet, "p12", "3slot").unionByName(rated(fleet, "p24", "6slot"))
+    """Both horizons in one pass over the fleet."""
+    horizons = [F.struct(F.lit(h).alias("horizon"), *[c.alias(n) for n, c in reports.risk_columns(p, h).items()])
+                for p, h in (("p12", "3slot"), ("p24", "6slot"))]
+    return tables.fleet(spark, sf).select("machine_name", F.inline(F.array(*horizons)))
 
 
 @query("sort03_top_at_risk", f"""

@@ -46,10 +46,16 @@ def latest(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -
     return temporal.latest_per_machine(master(spark, sf_dir), columns)
 
 
+FLEET_COLUMNS = ["ping_timeout_rate_3slot", "ping_timeout_rate_6slot", "critical_component_count"]
+
+
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest rows with stand-in scores, for the reports that need no fitted model."""
+    """Latest rows with stand-in scores, for the reports that need no fitted model.
+
+    The newest row is a maximum of structs, which Spark does not prune, so only the columns of the scores go in.
+    """
     rate = F.col("ping_timeout_rate_6slot")
-    return latest(spark, sf_dir).withColumns({
+    return latest(spark, sf_dir, FLEET_COLUMNS).withColumns({
         "score": F.round(rate + F.lit(0.01) * F.col("critical_component_count"), 6),
         "p12": F.round(rate, 6),
         "p24": F.round("ping_timeout_rate_3slot", 6),

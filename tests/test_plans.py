@@ -46,3 +46,10 @@ def test_library_has_no_cross_join_local_checkpoint_or_rdd():
         source = inspect.getsource(__import__(module.name, fromlist=["_"]))
         for word in ("crossJoin", "localCheckpoint", ".rdd", "F.udf"):
             assert word not in source, (module.name, word)
+
+
+def test_risk_tiers_read_the_fleet_once_and_narrow(spark, sf):
+    """Both horizons come from one pass, and the newest rows carry only what the scores need."""
+    text = entry.queries()["rpt08_risk_tiers"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in text and len(re.findall(r"\bWindow \[", text)) == 1
+    assert len(tables.fleet(spark, sf).columns) < 12
