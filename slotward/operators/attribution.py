@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import health
+from . import vectors
 from .boosting import BoostedTrees
 
 
@@ -72,12 +73,13 @@ class Explainer:
                     self.leaves.append((order, low, high, bits, value * _pattern_shares(share)))
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
+        x, places = vectors.distinct(x)
         out = np.zeros((len(x), len(self.features)))
         for order, low, high, bits, table in self.leaves:
             part = x[:, order]
             pattern = ((part > low) & (part <= high)) @ bits
             out[:, order] += table[pattern]
-        return out
+        return out[places]
 
 
 def explain(rows: DataFrame, model: BoostedTrees, features: list[str]) -> DataFrame:

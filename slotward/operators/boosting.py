@@ -1,24 +1,27 @@
-"""Second-order gradient boosting on binned features, one Spark aggregate per level of a tree.
+"""Second-order gradient boosting on binned features, all levels of all trees in one Spark stage.
 
 Equal rows are merged to weighted vectors, each feature is cut once into at most 256 bins, and the
-binned vectors stay with the executors. A level asks every partition for gradient and hessian sums
-per (node, feature, bin); the sums are merged inside Spark and the splits are picked from that small
-table, whose size depends on depth, features and bins only. A partition's margins follow from its
-vectors and the trees so far, so a lost executor costs a replay of those trees and nothing else.
+binned vectors are dealt to the tasks of one barrier stage, which hold them while the trees grow. At a
+level every task sums gradients and hessians of its own vectors per (node, feature, bin), the tasks
+exchange these sums (`BarrierTaskContext.allGather`) and pick the same splits from them. What is
+exchanged depends on depth, features, bins and tasks, not on the number of vectors; nothing but the
+node table reaches the driver program. A lost task restarts the stage, whose input is checkpointed.
 
 Null features are imputed, a null label is 0; without rows, or without anything to split, the
 probability is one half. Sums are exact (multiples of 2**-20), so the trees depend neither on the
 partitioning nor on the order of rows.
 """
 
+import base64
 import uuid
-from collections.abc import Iterator
-from functools import partial
+import zlib
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark import RDD, StorageLevel
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import health
@@ -26,7 +29,7 @@ from ..session import shared_folder
 from . import ranking, vectors
 
 BINS = 256
-BLOCK_ROWS = 50_000  # weighted vectors per partition
+BLOCK_ROWS = 50_000  # weighted vectors per task, as long as there are free cores
 GRAIN = float(1 << 20)
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, value double, cover double"
 KEPT_MARGINS = 64  # blocks whose margins a Python worker remembers
@@ -52,13 +55,17 @@ class Tree(NamedTuple):
 
     def places(self, bins: np.ndarray, levels: int) -> np.ndarray:
         """Node of every vector after `levels` steps; a vector in a leaf stays there."""
-        rows, at = np.arange(len(bins)), np.zeros(len(bins), np.int64)
+        at = np.zeros(len(bins), np.int64)
         for _ in range(levels):
-            feature = self.feature[at]
-            down = 2 * at + 1 + (bins[rows, np.maximum(feature, 0)] > self.cut[at])
-            at = np.where(feature >= 0, down, at)
+            at = self.below(bins, at)
         return at
 
+    def below(self, bins: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Node of every vector one step further down."""
+        feature = self.feature[at]
+        down = 2 * at + 1 + (bins[np.arange(len(bins)), np.maximum(feature, 0)] > self.cut[at])
+        return np.where(feature >= 0, down, at)
+
 
 class Block(NamedTuple):
     """Vectors of one partition: bin numbers, hash keys, labels, row counts, class weights."""
@@ -99,14 +106,18 @@ def cut_points(table: DataFrame, features: list[str], bins: int = BINS) -> list[
     return out
 
 
-def _blocks(parts: Iterator, fit: str, features: list[str], cuts: list[np.ndarray], positive: float, index: int) -> Iterator[Block]:
-    rows = list(parts)
-    if rows:
-        table = np.array([[r[f] for f in features] for r in rows], float)
-        bins = np.stack([np.searchsorted(c, table[:, i], side="left") for i, c in enumerate(cuts)], axis=1)
-        label = np.array([r["label"] for r in rows], float)
-        yield Block((fit, index), bins.astype(np.int16), np.array([r["key"] for r in rows], np.int64).view(np.uint64), label,
-                    np.array([r["n"] for r in rows], float), np.where(label == 1, positive, 1.0))
+def _block(batches: Iterator[pa.RecordBatch], name: tuple, features: list[str], cuts: list[np.ndarray], positive: float) -> Block:
+    """The vectors of a task; batches are binned as they come."""
+    parts = []
+    for batch in batches:
+        column = lambda c, kind: batch.column(c).to_numpy(zero_copy_only=False).astype(kind)  # noqa: B023,E731 - used at once
+        bins = np.empty((batch.num_rows, len(features)), np.int16, order="F")
+        for i, (f, c) in enumerate(zip(features, cuts, strict=True)):
+            bins[:, i] = np.searchsorted(c, column(f, float), side="left")
+        parts.append((bins, column("key", np.int64).view(np.uint64), column("label", float), column("n", float)))
+    none = (np.empty((0, len(features)), np.int16), np.empty(0, np.uint64), np.empty(0), np.empty(0))
+    bins, key, label, count = map(np.concatenate, zip(*parts or [none], strict=True))
+    return Block(name, np.asfortranarray(bins), key, label, count, np.where(label == 1, positive, 1.0))
 
 
 # --- one level ---------------------------------------------------------------------------------
@@ -136,19 +147,24 @@ def _margin(block: Block, trees: list[Tree], depth: int) -> np.ndarray:
     return margin
 
 
-def _level_sums(blocks: Iterator[Block], trees: list[Tree], growing: Tree, level: int, columns: np.ndarray,
-                starts: np.ndarray, width: int, depth: int, share: float, seed: int) -> Iterator[np.ndarray]:
-    """Gradient and hessian sums of a partition per node of the level and bin of each column."""
-    first, nodes = 2**level - 1, 2**level
-    for block in blocks:
-        p = 1.0 / (1.0 + np.exp(-_margin(block, trees, depth)))
-        weight = sampled_counts(block, share, seed + len(trees)) * block.scale
-        at = growing.places(block.bins, level) - first
-        used = np.flatnonzero((at >= 0) & (weight > 0))  # vectors in a leaf further up take no part
-        cell = (at[used, None] * width + starts[columns] + block.bins[np.ix_(used, columns)]).ravel()
-        slopes = (p - block.label, np.maximum(p * (1 - p), 1e-16))
-        parts = [np.bincount(cell, np.repeat(np.rint(s[used] * weight[used] * GRAIN), len(columns)), nodes * width) for s in slopes]
-        yield np.stack(parts).reshape(2, nodes, width) / GRAIN
+def _level_sums(block: Block, slopes: list[np.ndarray], at: np.ndarray, nodes: int, columns: np.ndarray,
+                starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of gradients and hessians, in grains, of a block per place (`at`; below 0: none) and bin of each column."""
+    used = np.flatnonzero(at >= 0)
+    place, own = at[used], [s[used] for s in slopes]
+    out = np.zeros((2, nodes, int(sizes.sum())))
+    for c in columns:
+        cell = place * sizes[c] + block.bins[used, c]
+        for sums, s in zip(out, own, strict=True):
+            sums[:, starts[c]:starts[c] + sizes[c]] = np.bincount(cell, s, nodes * sizes[c]).reshape(nodes, sizes[c])
+    return out
+
+
+def _exchanged(sums: np.ndarray) -> np.ndarray:
+    """The sums of all tasks of the stage; whole numbers, so their order does not matter."""
+    packed = base64.b64encode(zlib.compress(sums.astype(np.int64).tobytes(), 1)).decode("ascii")
+    parts = BarrierTaskContext.get().allGather(packed)
+    return sum(np.frombuffer(zlib.decompress(base64.b64decode(p)), np.int64) for p in parts).reshape(sums.shape).astype(float)
 
 
 def _pick_splits(tree: Tree, sums: np.ndarray, level: int, columns: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rate: float) -> bool:
@@ -184,15 +200,31 @@ def _columns(features: int, share: float, seed: int, number: int) -> np.ndarray:
     return np.sort(np.argsort(draw, kind="stable")[:max(1, int(share * features))])
 
 
-def grow(blocks: RDD, sizes: np.ndarray, rounds: int, depth: int, rate: float, row_share: float, column_share: float, seed: int) -> list[Tree]:
+def grow(block: Block, merged: Callable[[np.ndarray], np.ndarray], sizes: np.ndarray, rounds: int, depth: int, rate: float,
+         row_share: float, column_share: float, seed: int) -> list[Tree]:
+    """The trees, from a task's own vectors and `merged`, which turns its sums into those of all tasks.
+
+    Of two siblings only the left one is summed, the right one is the rest of the parent; whole numbers make that exact.
+    """
     starts, trees = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int), []
     for number in range(rounds):
         tree, columns = Tree.empty(depth), _columns(len(sizes), column_share, seed, number)
+        p = 1.0 / (1.0 + np.exp(-_margin(block, trees, depth)))
+        weight = sampled_counts(block, row_share, seed + number) * block.scale
+        slopes = [np.rint(s * weight * GRAIN) for s in (p - block.label, np.maximum(p * (1 - p), 1e-16))]
+        at, sums = np.zeros(len(block.bins), np.int64), None
         for level in range(depth):
-            job = partial(_level_sums, trees=trees, growing=tree, level=level, columns=columns, starts=starts,
-                          width=int(sizes.sum()), depth=depth, share=row_share, seed=seed)
-            if not _pick_splits(tree, blocks.mapPartitions(job).treeReduce(np.add), level, columns, starts, sizes, rate):
+            place = at - (2**level - 1)  # below 0 in a leaf further up
+            place = np.where((weight > 0) & (place >= 0) & ((level == 0) | (place % 2 == 0)), place // 2, -1)
+            left = merged(_level_sums(block, slopes, place, max(1, 2**(level - 1)), columns, starts, sizes))
+            if level:
+                parents = np.arange(2**(level - 1) - 1, 2**level - 1)
+                rest = np.where((tree.feature[parents] >= 0)[None, :, None], sums - left, 0.0)
+                left = np.stack([left, rest], axis=2).reshape(2, 2**level, -1)
+            sums = left
+            if not _pick_splits(tree, sums / GRAIN, level, columns, starts, sizes, rate):
                 break
+            at = tree.below(block.bins, at)
         trees.append(tree)
     return trees
 
@@ -211,7 +243,8 @@ def _node_table(trees: list[Tree], cuts: list[np.ndarray]) -> pd.DataFrame:
             rows.append((number, i, f, float(cuts[f][tree.cut[i]]) if inner else 0.0, 2 * i + 1 if inner else -1,
                          2 * i + 2 if inner else -1, 0.0 if inner else float(tree.value[i]), float(tree.cover[i])))
             waiting += [2 * i + 2, 2 * i + 1] if inner else []
-    return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "value", "cover"])
+    kinds = dict(tree="int32", node="int32", feature="int32", threshold=float, left="int32", right="int32", value=float, cover=float)
+    return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
 
 
 class BoostedTrees:
@@ -228,6 +261,7 @@ class BoostedTrees:
             self._arrays.append(arrays)
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
+        x, places = vectors.distinct(x)
         rows, total = np.arange(len(x)), np.zeros(len(x))
         for feature, threshold, left, right, value in self._arrays:
             at = np.zeros(len(x), np.int64)
@@ -237,7 +271,7 @@ class BoostedTrees:
                 at = np.where(inner, np.where(below, left[at], right[at]), at)
                 inner = feature[at] >= 0
             total += value[at]
-        return total
+        return total[places]
 
     def probability(self, rows: DataFrame, name: str) -> DataFrame:
         """Add the probability of label 1, rounded to nine digits; only the features pass through Python."""
@@ -272,14 +306,17 @@ def fit(rows: DataFrame, label: str, features: list[str], rounds: int = 150, dep
         return BoostedTrees(features, _node_table([], []))
     cuts = cut_points(merged, features)
     scale = float((total - positive) / max(positive, 1))
-    keyed = merged.withColumn("key", F.xxhash64(*features, "label")).repartition(-(-size // block_rows), "key")
-    name = uuid.uuid4().hex
-
-    def blocks_of(index, part):
-        return _blocks(part, name, features, cuts, scale, index)
-
-    blocks = keyed.rdd.mapPartitionsWithIndex(blocks_of).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = np.array([len(c) + 1 for c in cuts])
-    trees = grow(blocks, sizes, rounds, depth, rate, row_share, column_share, seed)
-    blocks.unpersist()
-    return BoostedTrees(features, _node_table(trees, cuts))
+    tasks = min(-(-size // block_rows), max(1, spark.sparkContext.defaultParallelism // 2))  # a stage waits for so many free cores
+    keyed = merged.withColumn("key", F.xxhash64(*features, "label")).repartition(tasks, "key")
+    name, sizes = uuid.uuid4().hex, np.array([len(c) + 1 for c in cuts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = BarrierTaskContext.get().partitionId() if tasks > 1 else 0
+        block = _block(batches, (name, place), features, cuts, scale)
+        trees = grow(block, _exchanged if tasks > 1 else np.asarray, sizes, rounds, depth, rate, row_share, column_share, seed)
+        _margins.pop(block.name, None)
+        if place == 0:  # every task has the same trees
+            yield pa.RecordBatch.from_pandas(_node_table(trees, cuts), preserve_index=False)
+
+    inputs = keyed.select("key", "label", "n", *[F.col(f).cast("double").alias(f) for f in features])
+    return BoostedTrees(features, inputs.mapInArrow(run, NODE_SCHEMA, barrier=tasks > 1).toPandas())

@@ -4,6 +4,7 @@ Detectors and linear models see nothing of a row but its features, so equal rows
 with a weight: the hot all-healthy vector is reduced before the shuffle and costs one row afterwards.
 """
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed, health
@@ -71,3 +72,11 @@ def training_rows(rows: DataFrame, features: list[str], label: str, target: int
         *features, "label", (F.col("n") / pieces).alias("weight")
     )
     return split.repartition(max(1, -(-rows_out // ROWS_PER_TASK)))
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a batch and, for every row, its place among them; rows are told apart by their bytes."""
+    x = np.ascontiguousarray(x, float)
+    whole = x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel()
+    _, first, places = np.unique(whole, return_index=True, return_inverse=True)
+    return x[first], places

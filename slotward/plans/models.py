@@ -270,16 +270,15 @@ def _(spark, sf):
 
 # --- classifiers -----------------------------------------------------------------------------
 
-def tested(spark, sf, kind, label="target_failure_3slot", features=None):
-    rows = model_table(spark, sf)
+def tested(spark, sf, rows, kind, label="target_failure_3slot", features=None):
     model = classifier(spark, sf, kind, label, features, rows)
     _train, test = split(rows)
     keep = ["observation_id", "machine_name", label]
     return classifiers.predict(model, test).select(*keep, "probability_of_failure")
 
 
-def evaluated(spark, sf, name, kind, label="target_failure_3slot", features=None):
-    scored = ranking.pinned(tested(spark, sf, kind, label, features))
+def evaluated(spark, sf, rows, name, kind, label="target_failure_3slot", features=None):
+    scored = ranking.pinned(tested(spark, sf, rows, kind, label, features))
     return evaluation.report(scored, label, "probability_of_failure", name)
 
 
@@ -295,7 +294,7 @@ def both_targets(spark, sf, models):
     rows = model_table(spark, sf)
     with ThreadPoolExecutor(len(TARGETS) * len(models)) as pool:
         list(pool.map(lambda m: classifier(spark, sf, *m, rows=rows), [(k, label, f) for label in TARGETS for _n, k, f in models]))
-    parts = [evaluated(spark, sf, n, k, label, f).withColumn("target", F.lit(label)) for label in TARGETS for n, k, f in models]
+    parts = [evaluated(spark, sf, rows, n, k, label, f).withColumn("target", F.lit(label)) for label in TARGETS for n, k, f in models]
     return functools.reduce(DataFrame.unionByName, parts)
 
 

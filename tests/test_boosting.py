@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slotward.operators import boosting, classifiers
+from slotward.operators import boosting, classifiers, vectors
+from slotward.plans import models
 
 NAMES = ["a", "b", "c"]
 
@@ -135,3 +136,31 @@ def test_saved_trees_are_the_same(spark, points, tmp_path):
     classifiers.save(model, str(tmp_path / "m"))
     again = classifiers.load(str(tmp_path / "m"))
     assert again.features == NAMES and np.array_equal(again.log_odds(x), model.log_odds(x))
+
+
+def test_more_rounds_are_no_more_jobs(spark, points):
+    x, y = points
+    rows, jobs = table_of(spark, x, y), []
+    for rounds in (2, 9):
+        spark.sparkContext.setJobGroup(f"fit-{rounds}", "fit")
+        boosting.fit(rows, "y", NAMES, rounds, 3, block_rows=100)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{rounds}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_equal_rows_of_a_batch_are_scored_once():
+    x = np.array([[1.0, np.nan], [2, 0], [1, np.nan], [2, 0], [np.inf, 0]])
+    few, places = vectors.distinct(x)
+    assert len(few) == 3 and np.array_equal(few[places], x, equal_nan=True)
+    few, places = vectors.distinct(np.empty((0, 2)))
+    assert len(few) == len(places) == 0
+
+
+def test_all_models_are_evaluated_on_one_table(spark, sf, monkeypatch):
+    tables, model = [], boosting.BoostedTrees(models.FEATURES, boosting._node_table([], []))
+    build = models.model_table
+    monkeypatch.setattr(models, "model_table", lambda *a: tables.append(1) or build(*a))
+    monkeypatch.setattr(models, "classifier", lambda *a, **k: model)
+    assert models.both_targets(spark, sf, [("a", "boosted", None), ("b", "boosted", None)]).count() == 4
+    assert len(tables) == 1
