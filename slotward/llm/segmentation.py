@@ -21,8 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -69,6 +72,8 @@ class Vocabulary:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 pieces[piece] = i
                 self.surface[i] = piece.replace(MARK, " ").encode("utf-8")
+        self.sizes = np.fromiter(map(len, self.surface), np.int64, n)
+        self.begins, self.joined = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.surface), np.uint8)
         self.unknown = model.unk_id()
         self.fallback = float(n) ** -sharpness
         self.longest = max(map(len, pieces), default=1)
@@ -115,10 +120,24 @@ class Vocabulary:
         """Text of the pieces, without the space put before the first word."""
         return b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
-    def decodes_to(self, ids: list[int], text: str) -> bool:
-        """Whether `decode` gives the text; equal bytes need no decoding."""
-        raw = b"".join(map(self.surface.__getitem__, ids))
-        return raw == (" " + text if ids else text).encode("utf-8", "surrogatepass") or self.decode(ids) == text
+    def _spelling(self, ids: np.ndarray) -> bytes:
+        size = self.sizes[ids]
+        end = np.cumsum(size)
+        return self.joined[np.arange(size.sum()) + np.repeat(self.begins[ids] - end + size, size)].tobytes()
+
+    def decode_to(self, rows: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether `decode` gives the text, for each row of ids; equal bytes need no decoding."""
+        ids = np.concatenate([np.zeros(0, np.int64), *rows])
+        raw = b"".join(map(self._spelling, np.split(ids, range(SLICE, len(ids), SLICE))))
+        ends = np.append(0, np.cumsum(self.sizes[ids]))[np.cumsum([0, *map(len, rows)])].tolist()
+        return [raw[a:b] == (" " + text if len(own) else text).encode("utf-8", "surrogatepass") or self.decode(own.tolist()) == text
+                for own, text, a, b in zip(rows, texts, ends[:-1], ends[1:], strict=True)]
+
+
+@lru_cache(maxsize=2)
+def _vocabulary(path: str, sharpness: float, changed: int) -> Vocabulary:
+    """The vocabulary of a file as last changed, read once per worker."""
+    return Vocabulary(path, sharpness)
 
 
 def units_of(text: str) -> list[str]:
@@ -228,7 +247,7 @@ class Tables:
         forward[first - base] = 1.0
         head = np.repeat(first, np.diff(np.append(np.searchsorted(end, first), len(end))))
         depth = end - head
-        order = np.argsort(depth, kind="stable")
+        order = np.argsort(depth.astype(np.uint16) if size.max() < 1 << 16 else depth, kind="stable")  # short numbers are sorted by digits
         cuts = np.searchsorted(depth[order], np.arange(1, int(size.max()) + 2))
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             now = order[low:high]
@@ -270,11 +289,8 @@ class Tables:
         """First and last nodes of the units, after adding the new ones; makes room when full."""
         if self.edges > EDGES:
             self._thin()
-        at = list(map(self.numbers.get, units))
-        if None in at:
-            self.add(list(dict.fromkeys(u for u, k in zip(units, at) if k is None)))
-            at = [self.numbers[u] if k is None else k for u, k in zip(units, at)]
-        at = np.array(at, np.int64)
+        self.add(list(dict.fromkeys(filterfalse(self.numbers.__contains__, units))))
+        at = np.fromiter(map(self.numbers.__getitem__, units), np.int64, len(units))
         self.count[: len(self.numbers)] += np.bincount(at, minlength=len(self.numbers)).astype(np.int32)
         return self.head[at].astype(np.int64), self.last[at].astype(np.int64)
 
@@ -450,7 +466,7 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def _mapper(path: str, k: int, sharpness: float, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path, sharpness)
+        vocabulary = _vocabulary(path, sharpness, os.stat(path).st_mtime_ns)
         tables = Tables(vocabulary)
         for batch in batches:
             docs, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
@@ -467,7 +483,7 @@ def _mapper(path: str, k: int, sharpness: float, digest: bool):
                     "inclusion": pa.array([x[5] for x in rows], pa.float64()),
                 }
                 if digest:
-                    back = [vocabulary.decodes_to(x[2].tolist(), texts[a + x[0]].replace(MARK, " ")) for x in rows]
+                    back = vocabulary.decode_to([x[2] for x in rows], [texts[a + x[0]].replace(MARK, " ") for x in rows])
                     columns["ids_md5"] = pa.array([hashlib.md5(x[2].astype("<i4").tobytes()).hexdigest() for x in rows])
                     columns["round_trip"] = pa.array(back)
                 else:

@@ -431,3 +431,12 @@ def test_forgetting_rare_units_changes_no_sample(monkeypatch):
     whole = drawn(1 << 40)
     assert whole == drawn(2000) == drawn(1)
     assert all(vocabulary.decode(ids) == t.replace("▁", " ") for rows, t in zip(whole, texts) for ids, *_ in rows)
+
+
+def test_rows_of_ids_are_held_against_their_texts_together():
+    vocabulary = segmentation._vocabulary(PIECES, 1.0, 0)
+    assert segmentation._vocabulary(PIECES, 1.0, 0) is vocabulary  # read once per worker
+    texts = ["two words", "", "\u00e9t\u00e9 \U0001f600 end", "a  b "]
+    rows = [own[0][0] for own in segmentation.sampled(segmentation.Tables(vocabulary), texts, np.arange(4, dtype=np.uint64), 1)]
+    assert vocabulary.decode_to(rows, texts) == [True] * 4 == [vocabulary.decode(r.tolist()) == t for r, t in zip(rows, texts)]
+    assert vocabulary.decode_to(rows[::-1], texts) == [False] * 4 and vocabulary.decode_to([], []) == []
