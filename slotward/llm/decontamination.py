@@ -68,7 +68,7 @@ def tokens(text: Column) -> Column:
     s = F.regexp_replace(s, rf"(?i)(?<={MARK}n[0-9.,:/]{{1,24}}) {{1,2}}({UNITS})(?![\p{{L}}\p{{N}}])", f" {MARK}u$1 ")
     slotted = F.split(s, rf"(?:[^\p{{L}}\p{{N}}{MARK}.,:/%°]|(?<!{MARK}u)[%°]|(?<![0-9])[.,:/]|[.,:/](?![0-9]))+")
     pieces = F.when(F.col("_digits"), slotted).otherwise(plain)
-    return common.lowered(F.filter(pieces, lambda t: t != ""))
+    return common.lowered(F.array_remove(pieces, ""))
 
 
 def _is(token: Column, mark: str) -> Column:
@@ -77,74 +77,71 @@ def _is(token: Column, mark: str) -> Column:
 
 def _code(token: Column) -> Column:
     """Hash of a token's template; what may be a name is taken for a word."""
-    word = F.when(_is(token, MAYBE), F.substring(token, 3, F.length(token)))
-    return F.xxhash64(F.coalesce(word, F.when(_is(token, MARK), F.substring(token, 1, 2)).otherwise(token)))
+    slot = F.when(_is(token, MAYBE), F.substring(token, 3, F.length(token))).otherwise(F.substring(token, 1, 2))
+    return F.when(_is(token, MARK), F.xxhash64(slot)).otherwise(F.xxhash64(token))
 
 
-def _at(code: Column, place: Column) -> Column:
-    """A token's part of a window's hash; the parts are combined by exclusive or, so one can be exchanged."""
-    return F.xxhash64(code, place)
+def _shifted(bits: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", bits, by)
 
 
-def _places(size: int, window) -> Column:
-    """`window` of every start of `size` tokens of `tokens`."""
-    last = F.size("tokens") - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), window))
+def _following() -> Column:
+    """Bit k is set if the token k + 1 places after `place` may be a name; `names` from the `nth` on follow it."""
+    def bit(k: int) -> Column:
+        at = F.get("names", F.col("nth") + k)
+        return F.when(at < F.col("place") + WINDOW, _shifted(F.lit(1), at - F.col("place") - 1)).otherwise(0)
 
+    return reduce(lambda x, y: x.bitwiseOR(y), [bit(k) for k in range(WINDOW - 1)])
 
-def _hashes(size: int) -> Column:
-    """Hashes of all windows of `size` tokens in all readings."""
-    def window(at: Column) -> Column:
-        parts = [_at(F.get("codes", at + k), F.lit(k)) for k in range(size)]
-        words = F.array(reduce(lambda x, y: x.bitwiseXOR(y), parts, F.xxhash64(F.lit(size))))
 
-        def step(found: Column, k: Column) -> Column:
-            change = _at(F.get("codes", at + k), k).bitwiseXOR(_at(F.xxhash64(F.lit(NAME)), k))
-            more = F.concat(found, F.transform(found, lambda h: h.bitwiseXOR(change)))
-            return F.when(F.get("maybe", at + k), more).otherwise(found)
+def _slots(own: str, named: str) -> Column:
+    """The slots of a window's tokens: its names, numbers and units, what may be a name only where it is read as one."""
+    def slot(token: Column, k: Column) -> Column:
+        name = F.when(F.col(named).bitwiseAND(_shifted(F.lit(1), k)) != 0, F.concat(F.lit(NAME), F.substring(token, 3, F.length(token))))
+        return F.when(_is(token, MAYBE), name).when(_is(token, MARK), token)
 
-        any_maybe = F.array_contains(F.slice("maybe", at + 1, size), True)
-        return F.when(any_maybe, F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), words, step)).otherwise(words)
+    return F.array_compact(F.transform(own, slot))
 
-    return F.coalesce(F.flatten(_places(size, window)), F.array().cast("array<bigint>"))
 
+def windows(rows: DataFrame, keep: list[str], sizes: Column) -> DataFrame:
+    """`keep`, at, window, own (its tokens) and named (bits of those read as names) of all windows of `sizes` tokens in all readings of `templates`.
 
-def _windows(size: int) -> Column:
-    """(at, window, slots) of all windows of `size` tokens in all readings, hashed as in `_hashes`."""
-    def window(at: Column) -> Column:
-        none = F.array().cast("array<string>")
-        start = F.array(F.struct(at.alias("at"), F.xxhash64(F.lit(size)).alias("window"), none.alias("slots")))
-
-        def step(found: Column, k: Column) -> Column:
-            token = F.get("tokens", at + k)
-
-            def read(code: Column, slot: Column) -> Column:
-                return F.transform(found, lambda w: F.struct(
-                    w["at"].alias("at"), w["window"].bitwiseXOR(_at(code, k)).alias("window"), F.concat(w["slots"], slot).alias("slots")))
-
-            maybe = _is(token, MAYBE)
-            first = read(F.get("codes", at + k), F.when(_is(token, MARK) & ~maybe, F.array(token)).otherwise(none))
-            name = F.concat(F.lit(NAME), F.substring(token, 3, F.length(token)))
-            return F.when(maybe, F.concat(first, read(F.xxhash64(F.lit(NAME)), F.array(name)))).otherwise(first)
-
-        return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), start, step)
-
-    empty = F.array().cast("array<struct<at:int,window:bigint,slots:array<string>>>")
-    return F.coalesce(F.flatten(_places(size, window)), empty)
+    Windows are rows from the start, without array functions: those without names (`place` is -1), and for each
+    place that may be a name and each choice of names among the seven tokens after it, the windows that hold all of
+    these and in which the place is the first name. So every window is there once in every reading.
+    """
+    inner, place, n = ["tokens", "codes", *keep], F.col("place"), F.size("codes")
+    found = rows.select(*inner, "names", F.posexplode(F.concat(F.array(F.lit(-1)), F.col("names"))).alias("nth", "place"))
+    found = found.withColumn("some", F.when(place < 0, 0).otherwise(_following()))
+    subsets = F.filter(F.sequence(F.lit(0), F.col("some")), lambda bits: bits.bitwiseAND(F.col("some")) == bits)
+    found = found.select(*inner, "place", F.explode(F.when(F.col("some") == 0, F.array(F.lit(0))).otherwise(subsets)).alias("more"))
+    reach = F.when(F.col("more") == 0, 0).otherwise(F.length(F.bin("more")))
+    found = found.select(*inner, "place", "more", F.explode(sizes).alias("size"))
+    first = F.when(place < 0, 0).otherwise(F.greatest(F.lit(0), place + reach - F.col("size") + 1))
+    last = F.when(place < 0, n - F.col("size")).otherwise(F.least(place, n - F.col("size")))
+    found = found.withColumns({"first": first, "last": last}).filter("first <= last")
+    found = found.withColumn("at", F.explode(F.sequence("first", "last")))
+    # Bit k of `named`: token k of the window is read as a name.
+    found = found.withColumn("named", F.when(place < 0, 0).otherwise(_shifted(F.col("more") * 2 + 1, place - F.col("at"))))
+    name = F.xxhash64(F.lit(NAME))
+    parts = [F.when(F.col("named").bitwiseAND(1 << k) != 0, name).otherwise(F.get("codes", F.col("at") + k)) for k in range(WINDOW)]
+    parts = [part if k < LEAST else F.when(F.col("size") > k, part) for k, part in enumerate(parts)]
+    return found.select(*keep, "at", F.xxhash64(*parts).alias("window"), F.slice("tokens", F.col("at") + 1, F.col("size")).alias("own"), "named")
 
 
 def templates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add tokens, their hashes as words, and which may be names."""
+    """Add tokens, their hashes as words (codes), and the places of those that may be names (names)."""
     found = df.withColumn("_digits", F.coalesce(F.col(text).rlike("[0-9]"), F.lit(False)))
     return _coded(found.withColumn("tokens", tokens(F.col(text))).drop("_digits"))
 
 
 def _coded(df: DataFrame) -> DataFrame:
-    return df.withColumns({"codes": F.transform("tokens", _code), "maybe": F.transform("tokens", lambda t: _is(t, MAYBE))})
+    names = F.array_compact(F.transform("tokens", lambda t, k: F.when(_is(t, MAYBE), k)))
+    return df.withColumns({"codes": F.transform("tokens", _code), "names": names})
 
 
 def item_templates(benchmark: DataFrame) -> DataFrame:
-    """(item_id, tokens, codes, maybe) of the distinct items, as they start a text and as they follow a number."""
+    """(item_id, tokens, codes, names) of the distinct items, as they start a text and as they follow a number."""
     after = benchmark.select("item_id", "text", F.concat(F.lit("1 "), F.coalesce("text", F.lit(""))).alias("_after"))
     after = templates(after, "_after").select("item_id", "text", F.slice("tokens", 2, F.size("tokens")).alias("_after"))
     both = templates(after).groupBy("tokens").agg(F.min("item_id").alias("item_id"), F.collect_set("_after").alias("_after"))
@@ -161,13 +158,12 @@ def _sizes(items: DataFrame) -> list[int]:
 def item_windows(items: DataFrame) -> DataFrame:
     """(item_id, item_tokens, needed, item_at, window, item_slots) of the items; needed: windows that must agree."""
     n = F.size("tokens")
-    parts = []
-    for size in range(LEAST, WINDOW + 1):
-        fits = (n >= size) if size == WINDOW else (n == size)
-        needed = F.least(F.lit(HELD), n) - size + 1
-        parts.append(items.filter(fits).select("item_id", n.alias("item_tokens"), needed.alias("needed"), F.inline(_windows(size))))
-    names = [F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots")]
-    return reduce(DataFrame.union, parts).select("item_id", "item_tokens", "needed", *names).distinct()
+    size = F.least(n, F.lit(WINDOW))
+    needed = F.least(F.lit(HELD), n) - size + 1
+    rows = items.filter(n >= LEAST).withColumns({"item_tokens": n, "needed": needed, "_size": size})
+    found = windows(rows, ["item_id", "item_tokens", "needed", "_size"], F.array("_size"))
+    names = [F.col("at").alias("item_at"), "window", _slots("own", "named").alias("item_slots")]
+    return found.select("item_id", "item_tokens", "needed", *names).distinct()
 
 
 def row_key(df: DataFrame) -> DataFrame:
@@ -176,7 +172,7 @@ def row_key(df: DataFrame) -> DataFrame:
 
 def _candidates(rows: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
     """Keys of the rows of which any window is an item's."""
-    spread = templates(rows).select("doc_id", "_digest", F.explode(F.concat(*[_hashes(n) for n in sizes])).alias("window"))
+    spread = windows(templates(rows), ["doc_id", "_digest"], F.array(*map(F.lit, sizes)))
     return spread.join(wanted.select("window"), "window", "left_semi").select("doc_id", "_digest").distinct()
 
 
@@ -213,10 +209,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_
     few = common.pinned(_candidates(rows, wanted, sizes)).toDF("_doc", "_found")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_digest") == F.col("_found"))
     rows = templates(rows.join(common.bounded(few, broadcast_rows), same, "left_semi"))
-    all_windows = F.concat(*[_windows(size) for size in sizes])
-    spread = rows.select("doc_id", "_digest", F.inline(all_windows))
+    spread = windows(rows, ["doc_id", "_digest"], F.array(*map(F.lit, sizes)))
     # Repeated rows would count twice: a window counts once per place.
-    met = spread.join(wanted, "window").withColumn("diagonal", F.col("at") - F.col("item_at"))
+    met = spread.join(wanted, "window").withColumns({"diagonal": F.col("at") - F.col("item_at"), "slots": _slots("own", "named")})
     pairs = F.transform("slots", lambda v, k: F.struct(v.alias("there"), F.get("item_slots", k).alias("here")))
     # Two lists of slots of one window have equal types by the template, so they zip. Places of repeated rows fall together.
     place = F.struct("at", F.size("slots").alias("n"), pairs.alias("pairs"))

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from samples import ODD, prose
 
 from slotward.llm import chat, common, decontamination, pii, quality, segmentation, token_counts, toxicity
@@ -379,6 +380,19 @@ def test_decontamination_equals_template_search(spark, frame):
     assert sure >= 20
 
 
+def test_decontamination_lists_every_window_in_every_reading_once(spark, frame):
+    texts = ["Bob. Carl ran. Dave. Ann. Eve! " * 4, "we saw it. Kim sat down there. Tom and the others went home after that", "Bob. Ann", "no names in this text at all, none"]
+    rows = decontamination.templates(frame(list(enumerate(texts)), odd=False))
+    got = decontamination.windows(rows, ["doc_id"], F.array(F.lit(5), F.lit(8))).select("doc_id", "at", F.size("own"), "named").collect()
+    wanted = []
+    for r in rows.collect():
+        for size in (5, 8):
+            for at in range(len(r["tokens"]) - size + 1):
+                may = sum(1 << k for k in range(size) if at + k in r["names"])
+                wanted += [(r["doc_id"], at, size, bits) for bits in range(1 << size) if bits & may == bits]
+    assert sorted(map(tuple, got)) == sorted(wanted) and len(wanted) > 1000
+
+
 def test_decontamination_equals_window_search(spark, sf):
     """Whole items inside documents, found by plain word windows."""
     folder = sf.replace("0.001", "0.01")
