@@ -4,7 +4,7 @@ A text is the weighted mean of the vectors of its subwords (character 3- to 5-gr
 its boundaries, and the word itself, hashed into BUCKETS rows), so a spelling never seen in training
 still shares most of its vectors with the word it is made from. Vectors and the softmax layer are
 learned together, on at most `max_rows` labelled rows (a bounded sample by hash of doc_id, whole
-texts). Scoring runs on the executors: with two classes the model folds into one number per bucket,
+texts) in one task. Scoring runs on the executors: with two classes the model folds into one number per bucket,
 and a word's share is computed once per worker and kept in a bounded cache.
 
 Defined cases: null and empty texts score as the class prior; rows with equal doc_id are scored one by
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 BITS = 17
@@ -182,8 +183,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFr
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    rows = labelled_sample(docs, labels, max_rows).collect()
-    return fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+    """Fit on the sample in one task, so that neither its texts nor the training need memory of the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        model = fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+        yield pa.RecordBatch.from_pylist([{"logit": model.logit.tobytes(), "share": model.share.tobytes(), "bias": model.bias}])
+
+    found = labelled_sample(docs, labels, max_rows).coalesce(1).mapInArrow(run, "logit binary, share binary, bias double").collect()
+    if not found:
+        return fit([], [])
+    return Model(np.frombuffer(found[0]["logit"], np.float32), np.frombuffer(found[0]["share"], np.float32), found[0]["bias"])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

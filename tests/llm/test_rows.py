@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -235,6 +236,17 @@ def test_segmentations_decode_to_the_text(frame):
 BENCH = "item_id long, text string"
 
 
+def test_toxicity_trains_outside_the_driver(spark, frame, monkeypatch):
+    rows = [(i, f"good words number{i % 7} here" if i % 3 else f"vile awful words number{i % 7}") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(frame(rows), labels, 100).collect()
+    wanted = toxicity.fit([r["text"] for r in sample], [r["toxic"] for r in sample])
+    fit, driver = toxicity.fit, os.getpid()
+    monkeypatch.setattr(toxicity, "fit", lambda *rows: fit(*rows) if os.getpid() != driver else pytest.fail("trained in the driver"))
+    got = toxicity.train(frame(rows), labels, 100)
+    assert got.bias == wanted.bias and (got.logit == wanted.logit).all() and (got.share == wanted.share).all() and wanted.logit.any()
+
+
 def test_decontamination_finds_items_and_new_parameters(spark, frame):
     item = "If Tom has 12 apples and Anna has 7 kg of rice, then Tom gives 3 apples to Anna today."
     changed = "so, if Bob has 99 apples and Eve has 8 lb of rice, then Bob gives 5 apples to Eve today."
